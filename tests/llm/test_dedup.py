@@ -85,7 +85,7 @@ def brute_components(ids, prints):
     label = np.array(ids)
     near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 3
     while True:
-        new = np.where(near, label[None, :], 1 << 60).min(1)
+        new = np.where(near, label[None, :], np.iinfo(np.int64).max).min(1)
         if (new == label).all():
             return label
         label = new
