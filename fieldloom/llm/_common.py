@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found or _own.setdefault("dir", tempfile.mkdtemp(prefix="fieldloom-"))
 
 
+#: Bounds of the Arrow batches that carry texts to Python: rows, and bytes (reached by one row at most).
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+@contextmanager
+def text_batches(spark: SparkSession):
+    """While this holds, plans that run send texts to Python in small batches."""
+    before = {k: spark.conf.get(k, None) for k in BATCH}
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again.
 
@@ -35,7 +53,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fieldloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with text_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -28,6 +28,8 @@ from ._common import ROW, SPACE, stored
 
 #: Fingerprints that one merge task is meant to hold, when the number of runs is chosen.
 PER_MERGE = 1 << 20
+#: Rows of one fingerprint that one task is meant to compare.
+PER_SALT = 512
 
 
 class CountingQuotientFilter:
@@ -133,12 +135,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = stored(
         base.select("doc_id", "rid", "fp", F.char_length("body").alias("n"), F.sha2("norm", 256).alias("sha"), *carried), "dedup-slim"
     )
-    repeated = stored(repeated_fingerprints(slim, slim.count()), "dedup-repeated").select("fp")
-    suspects = base.select("rid", "fp", "norm").join(repeated, "fp", "left_semi")
-    first = suspects.groupBy("fp").agg(F.min_by("norm", "rid").alias("first"))
+    repeated = stored(repeated_fingerprints(slim, slim.count()), "dedup-repeated")
+    # the rows of a frequent fingerprint are dealt out by salts, and each salt gets the text to compare with
+    salts = F.ceil(F.col("n") / PER_SALT)
+    suspects = base.select("rid", "fp", "norm").join(repeated.select("fp", salts.alias("salts")), "fp")
+    suspects = suspects.withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("salts")))
+    first = suspects.groupBy("fp", "salt", "salts").agg(F.min_by(F.col("norm"), F.col("rid")).alias("first"), F.min("rid").alias("rid"))
+    first = first.groupBy("fp", "salts").agg(F.min_by("first", "rid").alias("first"))
+    first = first.select("fp", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     # a text that differs from the first of its fingerprint is a class of its own bytes
     checked = stored(
-        suspects.join(first, "fp").select("rid", "fp", F.when(F.col("norm") != F.col("first"), F.col("norm")).alias("other")), "dedup-checked"
+        suspects.join(first, ["fp", "salt"]).select("rid", "fp", F.when(F.col("norm") != F.col("first"), F.col("norm")).alias("other")), "dedup-checked"
     )
     rows = stored(checked.join(slim.drop("fp"), "rid"), "dedup-rows")
     best = rows.groupBy("fp", "other").agg(
@@ -150,7 +157,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     several = several.select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), F.col("sha").alias("text_sha256"), *carried
     )
-    single = slim.join(repeated, "fp", "left_anti").select(
+    single = slim.join(repeated.select("fp"), "fp", "left_anti").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"), *carried
     )
     return several.unionByName(single).withColumnsRenamed({f"carry_{c}": c for c in carry})
