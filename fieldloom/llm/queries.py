@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import contained_items
 from .exact_dedup import exact_dedup
+from .mixing import mix_sources
 from .simhash import simhash_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +48,24 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents")).drop("is_first")
+
+
+@_query()
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+_WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+
+@_query(f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' '))) AS sh FROM d WHERE len(w) >= 5),
+its AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' '))) AS sh FROM i WHERE len(w) >= 5),
+n AS (SELECT item_id, count(*) AS s FROM its GROUP BY item_id)
+SELECT doc_id, item_id, any_value(s) AS item_shingles, count(*) AS shared_shingles, count(*) / any_value(s) AS containment
+FROM ds JOIN its USING (sh) JOIN n USING (item_id) GROUP BY doc_id, item_id
+HAVING count(*) >= ceil(0.8 * any_value(s) - 1e-9)
+""")
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
