@@ -10,6 +10,8 @@ from .decontamination import contained_items
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .simhash import simhash_components
+from .token_counts import count_tokens
+from .toxicity import fit, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +71,16 @@ HAVING count(*) >= ceil(0.8 * any_value(s) - 1e-9)
 """)
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query()
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
+@_query()
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
