@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import contained_items
 from .exact_dedup import exact_dedup
+from .html_extract import extract_pages
 from .mixing import mix_sources
 from .simhash import simhash_components
 from .token_counts import count_tokens
@@ -84,3 +85,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query()
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
