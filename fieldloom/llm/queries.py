@@ -10,6 +10,7 @@ from .decontamination import contained_items
 from .exact_dedup import exact_dedup
 from .html_extract import extract_pages
 from .mixing import mix_sources
+from .pii_crf import find_pii
 from .simhash import simhash_components
 from .token_counts import count_tokens
 from .toxicity import fit, score_toxicity
@@ -90,3 +91,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_table(spark, sf_dir, "pages"))
+
+
+@_query()
+def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents")).drop("found")
