@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontamination import contained_items
 from .exact_dedup import exact_dedup
@@ -13,6 +14,7 @@ from .mixing import mix_sources
 from .pii_crf import find_pii
 from .simhash import simhash_components
 from .token_counts import count_tokens
+from .tool_calls import conversation_calls, conversation_schemas, link_tool_calls
 from .toxicity import fit, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +98,39 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents")).drop("found")
+
+
+@_query("""
+WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS body FROM conversations),
+c AS (
+  SELECT conv_id, turn, 'c' || conv_id || '-' || turn AS call_id, CASE role WHEN 'user' THEN 'reply' ELSE 'configure' END AS name,
+         CASE role WHEN 'user' THEN to_json({'prompt': body, 'turn': turn}) ELSE to_json({'instructions': body}) END AS arguments, role
+  FROM m WHERE role IN ('user', 'system')),
+i AS (
+  SELECT *, sum(CASE WHEN before = turn - 2 THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id, turn % 2, role ORDER BY turn) AS island
+  FROM (SELECT *, lag(turn) OVER (PARTITION BY conv_id, turn % 2, role ORDER BY turn) AS before FROM c)),
+-- a user's parent may be any call two turns before
+d AS (
+  SELECT u.*, CASE WHEN role = 'system' THEN 0 ELSE
+    row_number() OVER (PARTITION BY conv_id, turn % 2, role, island ORDER BY turn) - 1
+    + CASE WHEN EXISTS (SELECT 1 FROM c s WHERE s.role = 'system' AND s.conv_id = u.conv_id AND s.turn + 2 =
+        (SELECT min(turn) FROM i x WHERE x.conv_id = u.conv_id AND x.turn % 2 = u.turn % 2 AND x.role = u.role AND x.island = u.island)) THEN 1 ELSE 0 END END AS depth
+  FROM i u),
+r AS (SELECT conv_id, turn AS result_turn, 'c' || conv_id || '-' || (turn - 1) AS call_id, body AS content FROM m WHERE role = 'assistant'),
+j AS (
+  SELECT coalesce(d.conv_id, r.conv_id) AS conv_id, coalesce(d.call_id, r.call_id) AS call_id, name, turn, result_turn, depth, arguments, content,
+         CASE WHEN d.conv_id IS NULL THEN 0 ELSE 1 END AS n_calls, CASE WHEN r.conv_id IS NULL THEN 0 ELSE 1 END AS n_results
+  FROM d FULL JOIN r ON d.conv_id = r.conv_id AND d.call_id = r.call_id),
+s AS (SELECT *, CASE WHEN n_calls = 0 THEN 'orphan' WHEN n_results = 0 THEN 'pending' WHEN result_turn <= turn THEN 'early' ELSE 'linked' END AS status FROM j)
+SELECT conv_id, call_id, name, turn, result_turn, CAST(depth AS BIGINT) AS depth, CAST(n_calls AS BIGINT) AS n_calls, CAST(n_results AS BIGINT) AS n_results, status,
+       CASE WHEN n_calls = 1 THEN '' END AS errors,
+       '{' || array_to_string(list_filter([
+         CASE WHEN arguments IS NOT NULL THEN '"arguments":' || arguments END, '"id":' || to_json(call_id),
+         CASE WHEN name IS NOT NULL THEN '"name":' || to_json(name) END, CASE WHEN content IS NOT NULL THEN '"result":' || to_json(content) END,
+         '"status":' || to_json(status)], lambda x: x IS NOT NULL), ',') || '}' AS record
+FROM s
+""")
+def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = conversation_calls(_table(spark, sf_dir, "conversations"))
+    linked = link_tool_calls(calls, results, conversation_schemas(spark))
+    return linked.withColumn("errors", F.array_join("errors", ","))
