@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontamination import contained_items
 from .exact_dedup import exact_dedup
 from .html_extract import extract_pages
+from .lm_mixing import score_texts
 from .mixing import mix_sources
 from .pii_crf import find_pii
 from .simhash import simhash_components
@@ -134,3 +135,10 @@ def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = conversation_calls(_table(spark, sf_dir, "conversations"))
     linked = link_tool_calls(calls, results, conversation_schemas(spark))
     return linked.withColumn("errors", F.array_join("errors", ","))
+
+
+@_query()
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
+    scored = score_texts(_table(spark, sf_dir, "documents"), ~held_out)
+    return scored.withColumn("held_out", held_out)
