@@ -13,10 +13,15 @@ from fieldloom.llm import stages
 from fieldloom.llm._common import stored
 
 STAGES = [
+    ("toxicity", stages.toxicity_stage),
     ("exact_dedup", stages.exact_dedup_stage),
     ("simhash_near_dedup", stages.simhash_stage),
+    ("benchmark_decontamination", stages.decontamination_stage),
+    ("source_mixing", stages.mixing_stage),
 ]
 
+#: Neither the classifier nor the random rounding can be written in SQL; the tests hold every
+#: stage against a brute-force version.
 ORACLE_SQL = None
 
 
