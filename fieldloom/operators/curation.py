@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,11 +49,15 @@ def scaled(df: DataFrame, columns: list[str], how: str) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, key: str, seeds: list[int], n: int) -> DataFrame:
-    """n rows per seed without replacement, by the order of an integer hash that any engine can compute."""
-    all_ = df.crossJoin(F.broadcast(df.sparkSession.createDataFrame([(s,) for s in seeds], "seed int")))
-    mixed = (F.col(key) * 7919 + F.col("seed") * 104729) % 1000003
-    order = Window.partitionBy("seed").orderBy("mixed", key)
-    return all_.withColumn("mixed", mixed).withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).drop("mixed")
+    """n rows per seed without replacement, by the order of an integer hash that any engine can compute.
+
+    Each seed is a top-n that tasks cut before anything is shuffled; only n rows are numbered."""
+    parts = []
+    for s in seeds:
+        mixed = df.withColumn("seed", F.lit(s)).withColumn("mixed", (F.col(key) * 7919 + F.lit(s * 104729)) % 1000003)
+        parts.append(mixed.orderBy("mixed", key).limit(n))
+    place = F.row_number().over(Window.partitionBy("seed").orderBy("mixed", key))
+    return reduce(DataFrame.unionByName, parts).withColumn("place", place).drop("mixed")
 
 
 def group_folds(df: DataFrame, group: str, folds: int, repeats: int) -> DataFrame:
