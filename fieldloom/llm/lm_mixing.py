@@ -1,24 +1,27 @@
 """Language-model scores by online logistic context mixing, beside a word-count base score.
 
 A text is scored as its tokens: lower-cased words, then an end. The base score is that of
-smoothed counts of words. The model codes the bytes of the tokens (a space before the next word,
-a line feed as the end) bit by bit. Hashed-context predictors of several orders each keep counts
+smoothed counts of words. The model codes the bytes of the tokens (a space after each word, a
+line feed as the end) bit by bit. Hashed-context predictors of several orders each keep counts
 of zeros and ones by context and position in the byte; their logits are combined by weights that
-a gate selects, by how many orders have seen the context and how often; the result is refined
-adaptively, by a last mixer of two inputs that follows each text with online gradient steps.
-The sum over bits is a code length, hence total bits per byte and a log10 probability.
+a gate selects, by how many orders have seen the context and how often. The result is refined
+adaptively: mixers of different sharpness, and the base for words that it knows, give each token
+a probability, and a text is coded by their mean under shares that follow what has served its
+earlier tokens best. The sum over bits is a code length, hence total bits per byte and a log10
+probability.
 
-What is gathered from the corpus, all of it from every row that is learned from:
+One pass over every row that is learned from gathers, in each task:
 * counts of words, summed by a shuffle, as many as there are words;
-* counts of bits, by task in tables of fixed size (`TABLE_BITS`), whose pages are merged in a
-  tree of fan-in `FAN`, so that no task gets the pages of all tasks;
-* gated weights, fitted by online Newton steps in each task, on counts that leave out what
-  the text itself has put in, and averaged by the bits they have seen.
-The bit tables (23 MB for a corpus of any size) are broadcast. Word counts are not, for they
-grow: the texts are dealt into blocks of `BLOCK` bytes, the distinct words of each block fetch
-their counts by a join, and each block is scored together with its words.
-
-Within a chunk of texts most contexts repeat, so predictions are computed for distinct contexts
+* counts of bits in tables of fixed size (`TABLE_BITS`), whose pages are merged in a tree of
+  fan-in `FAN`, so that no task gets the pages of all tasks;
+* gated weights, learned online: each chunk of texts is first predicted from the counts of the
+  task so far, the weights take Newton steps on what was predicted, and only then are its bits
+  counted. Weights are averaged over tasks by the bits they have seen.
+The merged bit tables (13 MB for a corpus of any size) are broadcast. Word counts are not, for
+they grow: the texts are dealt into blocks of `BLOCK` bytes, the distinct words of each block
+fetch their counts by a join, and each block is scored together with its words.
+
+Within a chunk of texts most contexts repeat, so everything is computed for distinct contexts
 and looked up by position.
 
 Defined results: a null text counts as empty and is the end alone; a null id is learned from;
@@ -28,6 +31,7 @@ predicted from empty tables; an empty table gives an empty result. Extra columns
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -43,44 +47,49 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ._common import stored
 
 #: Bytes before the predicted one that each predictor sees.
-ORDERS = (1, 2, 3, 4, 6)
-TABLE_BITS = (16, 20, 21, 22, 22)
+ORDERS = (1, 2, 3, 4, 5)
+TABLE_BITS = (16, 19, 20, 21, 21)
 #: Gates: how many predictors have seen the context, and how often the last of them has.
 OFTEN = (2, 4)
 GATES = (len(ORDERS) + 1) * (len(OFTEN) + 1)
 PAGE = 1 << 16
 #: Bytes of text that are analysed at a time, and bytes of a block that is scored with its words.
-CHUNK, BLOCK = 8 << 20, 12 << 20
+CHUNK, BLOCK = 3 << 20, 16 << 20
 FAN = 64
-#: Steps that are taken for the weights in each chunk, and how much the starting weights count.
-STEPS, PRIOR = 8, 50.0
+#: Contexts that are worked on at a time, and the least curvature of a Newton step.
+PART, PRIOR = 1 << 14, 50.0
+#: How sharp the mixers of the last stage are.
+SHARPNESS = np.array([0.5, 0.7, 0.85, 1.0, 1.15], np.float32)
 #: Words that a task counts before it sends what it has.
-WORDS = 400_000
+WORDS = 300_000
 END = "\n"
 
 _STARTS = np.cumsum([0, *(1 << b for b in TABLE_BITS)])
 _PAGES = int(_STARTS[-1]) // PAGE
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NODE = np.uint64(0xD6E8FEB86659FD93)
+_LOW, _HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
 
 
 def tokens(text: str | None) -> bytes:
-    """Lower-cased words joined by spaces, then the end."""
-    return b" ".join((text or "").encode().lower().split()) + END.encode()
+    """Lower-cased words, each with a space after it, then the end."""
+    words = (text or "").encode().lower().split()
+    return b" ".join([*words, END.encode()])
 
 
 def distinct_contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (six bytes before, byte) as integers, the number of each position, text sizes."""
+    """Distinct (bytes before, byte) as integers, the number of each position, text sizes."""
     reach = max(ORDERS)
     sizes = np.array([len(t) for t in texts], np.int64)
-    data = np.frombuffer(b"".join(b"\0" * reach + t for t in texts), np.uint8)
-    key = np.zeros(len(data), np.int64)
-    for j in range(reach + 1):
-        key[j:] |= data[: len(data) - j].astype(np.int64) << (8 * j)
-    inside = np.ones(len(data), bool)
+    data = b"\0" * 8 + b"".join(b"\0" * reach + t for t in texts)
+    # every position as the eight bytes that end there, of which reach + 1 count
+    ending = np.ndarray(len(data) - 8, ">u8", data, offset=1, strides=(1,))
+    inside = np.ones(len(ending), bool)
     starts = np.cumsum(sizes + reach) - sizes - reach
     inside[(starts[:, None] + np.arange(reach)).ravel()] = False
-    coded = pa.array(key[inside]).dictionary_encode()
+    key = ending[inside].astype(np.uint64)
+    key &= np.uint64((1 << (8 * reach + 8)) - 1)
+    coded = pa.array(key.view(np.int64)).dictionary_encode()
     return coded.dictionary.to_numpy().view(np.uint64), coded.indices.to_numpy(), sizes
 
 
@@ -96,50 +105,38 @@ def slots(contexts: np.ndarray, k: int) -> np.ndarray:
     byte = contexts & np.uint64(255)
     hashed = (before + np.uint64(order << 56)) * _MIX
     hashed ^= hashed >> np.uint64(29)
-    out = np.empty((len(contexts), 8), np.int64)
+    out = np.empty((len(contexts), 8), np.int32)
     for j in range(8):
         node = np.uint64(1 << j) | (byte >> np.uint64(8 - j))
         out[:, j] = ((hashed + node * _NODE) * _MIX) >> np.uint64(64 - size)
-    return out + _STARTS[k]
+    return out + np.int32(_STARTS[k])
+
+
+def logits(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4)))
+
+
+def gates(totals: list[np.ndarray]) -> np.ndarray:
+    """Gate of each context and bit from the total counts by order."""
+    seen, last = np.zeros(totals[0].shape, np.int8), np.zeros(totals[0].shape, np.float32)
+    for n in totals:
+        seen += n > 0
+        last = np.where(n > 0, n, last)
+    return seen * np.int8(len(OFTEN) + 1) + sum((last >= o).astype(np.int8) for o in OFTEN)
 
 
 class Tables:
-    """Counts of zeros and ones by slot as bytes; pairs over 255 are scaled down."""
+    """Merged counts of zeros and ones by slot as bytes; pairs over 255 are scaled down."""
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts
-        n0, n1 = np.meshgrid(np.arange(256), np.arange(256), indexing="ij")
-        self.stretch = np.log((n1 + 0.4) / (n0 + 0.4)).astype(np.float32).ravel()
-
-    def inputs(self, contexts: np.ndarray, bits: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of all predictors (context, bit, order) and the gate (context, bit).
-
-        When weights are fitted, `own` counts of `bits` are left out for each context: what the
-        predicted text itself has put into the tables."""
-        x = np.empty((len(contexts), 8, len(ORDERS)), np.float32)
-        gate = np.zeros((len(contexts), 8), np.int8)
-        last = np.zeros((len(contexts), 8), np.int16)
-        for k in range(len(ORDERS)):
-            pair = self.counts[slots(contexts, k)]
-            if own is not None:
-                n0, n1 = (pair >> 8).astype(np.int64), (pair & 255).astype(np.int64)
-                n0, n1 = np.where(bits, n0, np.maximum(0, n0 - own[:, None])), np.where(bits, np.maximum(0, n1 - own[:, None]), n1)
-                pair = n0 << 8 | n1
-            x[:, :, k] = self.stretch[pair]
-            gate += pair > 0
-            last = np.where(pair > 0, (pair & 255) + (pair >> 8), last)
-        return x, gate * (len(OFTEN) + 1) + np.searchsorted(OFTEN, last, side="right").astype(np.int8)
-
-
-def own_counts(place: np.ndarray, sizes: np.ndarray, contexts: int) -> np.ndarray:
-    """How often a text has a context itself, on average over the occurrences of the context."""
-    text = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
-    pairs = np.sort(text << 32 | place)
-    starts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
-    often = np.diff(np.r_[starts, len(pairs)]).astype(float)
-    context = pairs[starts] & 0xFFFFFFFF
-    mean = np.bincount(context, often * often, contexts) / np.maximum(1, np.bincount(context, often, contexts))
-    return np.ceil(mean).astype(np.int64)
+        n0, n1 = np.meshgrid(np.arange(256, dtype=np.float32), np.arange(256, dtype=np.float32), indexing="ij")
+        self.stretch = logits(n0, n1).astype(np.float32).ravel()
+
+    def inputs(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of all predictors (context, bit, order) and the gate (context, bit)."""
+        pairs = [np.take(self.counts, slots(contexts, k)) for k in range(len(ORDERS))]
+        return np.stack([np.take(self.stretch, p) for p in pairs], axis=2), gates([(p & 255) + (p >> 8) for p in pairs])
 
 
 def _pack(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -152,52 +149,65 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -15, 15)))
 
 
-def mix(x: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gated logit and the logit of the highest order that has seen the context."""
-    z = np.einsum("ubk,ubk->ub", x, weights[gate].astype(np.float32))
-    seen = gate.astype(np.int64) // (len(OFTEN) + 1)
-    top = np.take_along_axis(x, np.maximum(seen - 1, 0)[:, :, None], axis=2)[:, :, 0]
-    return np.clip(z, -12, 12), top
+def byte_scores(tables: Tables, contexts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """log10 probability of the byte of each context under each mixer (context, mixer)."""
+    out = np.empty((len(contexts), len(SHARPNESS)), np.float32)
+    for at in range(0, len(contexts), PART):
+        own = contexts[at : at + PART]
+        x, gate = tables.inputs(own)
+        z = np.einsum("ubk,ubk->ub", x, weights[gate].astype(np.float32))
+        wrong = np.where(bits_of(own), -z, z)
+        for k, sharp in enumerate(SHARPNESS):
+            odds = np.exp(np.clip(wrong * sharp, -12, 12))
+            out[at : at + PART, k] = -np.log((1 + odds)).sum(axis=1)
+    return out / np.float32(np.log(10))
 
 
 def fit_weights(x: np.ndarray, gate: np.ndarray, bits: np.ndarray, often: np.ndarray, weights: np.ndarray, curvature: np.ndarray) -> None:
-    """Online Newton steps, small ones, for the weights of each gate; changes both arrays in place."""
-    for part in range(STEPS):
-        xs, gs, ys, ms = x[part::STEPS], gate[part::STEPS], bits[part::STEPS], often[part::STEPS]
-        p = _sigmoid(np.einsum("ubk,ubk->ub", xs, weights[gs].astype(np.float32)))
-        pull, bend = (ys - p) * ms[:, None], p * (1 - p) * ms[:, None]
-        for g in np.unique(gs):
-            own = gs == g
-            xo = xs[own]
-            curvature[g] += (xo * bend[own][:, None]).T @ xo
-            move = np.linalg.solve(curvature[g] + PRIOR * np.eye(len(ORDERS)), xo.T @ pull[own] - PRIOR / STEPS * (weights[g] - 0.3))
-            weights[g] += np.clip(move, -0.1, 0.1)
-
-
-def refined_scores(x: np.ndarray, top: np.ndarray, bits: np.ndarray, place: np.ndarray, sizes: np.ndarray, rate: float = 0.3) -> np.ndarray:
-    """log10 probability of each text under the last mixer, which adapts as the text goes on.
-
-    Texts advance together, a step at a time; a step is 256 bytes, or a 64th of a longer text."""
-    inputs = np.stack([x, top], axis=2)
-    step = np.maximum(256, -(-sizes // 64))
+    """An online Newton step, a small one, for the weights of each gate; changes both arrays in place."""
+    p = _sigmoid(np.einsum("ubk,ubk->ub", x, weights[gate].astype(np.float32)))
+    pull, bend = ((bits - p) * often[:, None]).ravel(), (p * (1 - p) * often[:, None]).ravel()
+    order = np.argsort(gate.ravel(), kind="stable")
+    counts = np.bincount(gate.ravel(), minlength=len(weights))
+    x, pull, bend = x.reshape(-1, len(ORDERS))[order], pull[order], bend[order]
+    ends = np.cumsum(counts)
+    for g in np.flatnonzero(counts):
+        own = slice(ends[g] - counts[g], ends[g])
+        curvature[g] += (x[own] * bend[own, None]).T @ x[own]
+        move = np.linalg.solve(curvature[g] + PRIOR * np.eye(len(ORDERS)), x[own].T @ pull[own])
+        weights[g] += np.clip(move, -0.1, 0.1)
+
+
+def token_scores(scores: np.ndarray, place: np.ndarray, chunk: list[bytes]) -> np.ndarray:
+    """Sums of byte scores by token (token, mixer); a token ends with its space or is the end."""
+    data = np.frombuffer(b"".join(chunk), np.uint8)
+    starts = np.flatnonzero(np.r_[True, (data[:-1] == 32) | (data[:-1] == 10)])
+    return np.add.reduceat(scores[place], starts, axis=0)
+
+
+def refined_scores(model: np.ndarray, base: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """log10 probability of each text under the mean of the mixers and the base.
+
+    Shares start equal for the model and the base and then follow the responsibilities for the
+    tokens before. Texts advance together by steps of 32 tokens, or a 64th of a longer text."""
+    logs = np.column_stack([model, base])
+    top = logs.max(axis=1)
+    p = 10 ** (logs - top[:, None])
+    prior = 32 * np.array([0.5 / model.shape[1]] * model.shape[1] + [0.5])
+    share = np.tile(prior, (len(sizes), 1))
+    step = np.maximum(32, -(-sizes // 64))
     starts = np.cumsum(sizes) - sizes
-    w = np.tile(np.array([1.0, 0.0], np.float32), (len(sizes), 1))
     out, done = np.zeros(len(sizes)), np.zeros(len(sizes), np.int64)
     live = np.flatnonzero(sizes)
     while len(live):
         n = np.minimum(step[live], sizes[live] - done[live])
         first = np.cumsum(n) - n
         at = np.repeat(starts[live] + done[live] - first, n) + np.arange(n.sum())
-        u = place[at]
-        owner = np.repeat(np.arange(len(live)), n)
-        own, y = inputs[u], bits[u]
-        z = np.einsum("nbk,nk->nb", own, w[live][owner])
-        signed = np.where(y, -z, z)
-        out[live] -= np.add.reduceat(np.logaddexp(0, signed).sum(axis=1, dtype=np.float64), first) / np.log(10)
-        error = y - _sigmoid(z)
-        gradient = np.add.reduceat(np.einsum("nb,nbk->nk", error, own), first, axis=0)
-        w[live] += (rate * gradient / np.sqrt(n)[:, None] / 16).astype(np.float32)
-        np.clip(w, -0.5, 1.5, out=w)
+        weight = share[live] / share[live].sum(axis=1, keepdims=True)
+        parts = p[at] * np.repeat(weight, n, axis=0)
+        mean = parts.sum(axis=1)
+        out[live] += np.add.reduceat(np.log10(mean) + top[at], first)
+        share[live] += np.add.reduceat(parts / mean[:, None], first, axis=0)
         done[live] += n
         live = live[done[live] < sizes[live]]
     return out
@@ -215,72 +225,106 @@ def _chunks(texts: Iterator[bytes], most: int = CHUNK) -> Iterator[list[bytes]]:
         yield held
 
 
-_GATHERED = "page int, task int, word string, n bigint, slot binary, zeros binary, ones binary"
+class Learner:
+    """Counts and weights of one task, learned online."""
+
+    def __init__(self):
+        self.counts = np.zeros((int(_STARTS[-1]), 2), np.uint32)
+        self.weights = np.full((GATES, len(ORDERS)), 0.3)
+        self.curvature, self.seen = np.zeros((GATES, len(ORDERS), len(ORDERS))), np.zeros(GATES)
+
+    def add(self, texts: list[bytes]) -> None:
+        """Predict a chunk, learn weights from that, then count it."""
+        contexts, place, _ = distinct_contexts(texts)
+        often = np.bincount(place, minlength=len(contexts)).astype(np.uint32)
+        kept, both = [], self.counts.view(np.uint64).ravel()  # zeros in the low half, ones in the high
+        for at in range(0, len(contexts), PART):
+            own, times = contexts[at : at + PART], often[at : at + PART]
+            bits, places = bits_of(own), [slots(own, k) for k in range(len(ORDERS))]
+            pairs = [np.take(both, p) for p in places]
+            zeros, ones = ([(p & _LOW).astype(np.float32) for p in pairs], [(p >> _HALF).astype(np.float32) for p in pairs])
+            x = np.stack([logits(a, b) for a, b in zip(zeros, ones)], axis=2)
+            gate = gates([a + b for a, b in zip(zeros, ones)])
+            fit_weights(x, gate, bits, times.astype(np.float32), self.weights, self.curvature)
+            self.seen += np.bincount(gate.ravel(), np.repeat(times, 8), GATES)
+            kept.append(([p * 2 + bits for p in places], np.repeat(times, 8)))
+        flat = self.counts.reshape(-1)
+        for places, times in kept:
+            for p in places:
+                np.add.at(flat, p.ravel(), times)
+
+
+def _squeezed(a: np.ndarray) -> bytes:
+    return zlib.compress(a.astype(np.uint16).tobytes(), 1)
+
+
+def _loose(b: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(b), np.uint16)
+
+
+def _page(counts: np.ndarray) -> tuple[bytes, bytes, bytes] | None:
+    """Steps between used slots and their counts (slot, two), or None if no slot is used."""
+    used = np.flatnonzero(counts.any(axis=1))
+    if not len(used):
+        return None
+    own = counts[used].astype(np.int64)
+    most = np.maximum(own.max(axis=1, keepdims=True), 65535)
+    own = np.where(own > 0, np.maximum(1, own * 65535 // most), 0)
+    return _squeezed(np.diff(used, prepend=0)), _squeezed(own[:, 0]), _squeezed(own[:, 1])
+
+
+_GATHERED = "page int, task int, word string, n bigint, slot binary, zeros binary, ones binary, w double, seen double"
 
 
 def _gather(schema: pa.Schema):
-    """Counts of words (page null) and pages of bit counts of one task."""
+    """Counts of words (page null), weights (page -1, task their number) and pages of bit counts of one task."""
 
     def rows(**columns):
         n = len(next(iter(columns.values())))
         return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) for f in schema], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, int(_STARTS[-1])), np.uint16)
-        words: Counter = Counter()
-
-        def sent():
-            got = list(words.items())
-            words.clear()
-            for at in range(0, len(got), 1 << 16):
-                part = got[at : at + (1 << 16)]
-                yield rows(word=[w.decode() for w, _ in part], n=[c for _, c in part])
+    def counted(words: Counter):
+        got = list(words.items())
+        words.clear()
+        for at in range(0, len(got), 1 << 15):
+            part = got[at : at + (1 << 15)]
+            yield rows(word=[w.decode() for w, _ in part], n=[c for _, c in part])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, learner = Counter(), Learner()
         for texts in _chunks(tokens(t) for b in batches for t in b.column(0).to_pylist()):
             for t in texts:
                 words.update(t.split())
                 if len(words) > WORDS:
-                    yield from sent()
+                    yield from counted(words)
             words[END.encode()] += len(texts)
-            contexts, place, _ = distinct_contexts(texts)
-            often = np.bincount(place, minlength=len(contexts)).astype(float)
-            bits = bits_of(contexts)
-            for k in range(len(ORDERS)):
-                at = slots(contexts, k) - _STARTS[k]
-                for value in (0, 1):
-                    own = bits == value
-                    more = np.bincount(at[own], weights=np.broadcast_to(often[:, None], own.shape)[own], minlength=1 << TABLE_BITS[k])
-                    table = counts[value, _STARTS[k] : _STARTS[k + 1]]
-                    np.copyto(table, np.minimum(table + more, 65535).astype(np.uint16))
-        yield from sent()
+            learner.add(texts)
+        yield from counted(words)
+        gate = np.arange(learner.weights.size) // len(ORDERS)
+        yield rows(page=[-1] * len(gate), task=list(range(len(gate))), w=(learner.weights.ravel() * learner.seen[gate]).tolist(), seen=learner.seen[gate].tolist())
         task = TaskContext.get().partitionId()
         for page in range(_PAGES):
-            part = counts[:, page * PAGE : (page + 1) * PAGE]
-            used = np.flatnonzero(part.any(axis=0))
-            if len(used):
-                n0, n1 = part[:, used].astype(np.uint32)
-                yield rows(page=[page], task=[task], slot=[used.astype(np.uint16).tobytes()], zeros=[n0.astype(np.uint16).tobytes()], ones=[n1.astype(np.uint16).tobytes()])
+            if part := _page(learner.counts[page * PAGE : (page + 1) * PAGE]):
+                yield rows(page=[page], task=[task], slot=[part[0]], zeros=[part[1]], ones=[part[2]])
 
     return run
 
 
 def _merge_pages(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sum up to FAN pages; counts stay at 65535, where they are scaled down anyway."""
-    total = np.zeros((2, PAGE), np.int64)
+    """Sum up to FAN pages; counts over 65535 are scaled down."""
+    total = np.zeros((PAGE, 2), np.int64)
     for frame in frames:
         for slot, zeros, ones in zip(frame["slot"], frame["zeros"], frame["ones"]):
-            at = np.frombuffer(slot, np.uint16)
-            total[0, at] += np.frombuffer(zeros, np.uint16)
-            total[1, at] += np.frombuffer(ones, np.uint16)
-    most = np.maximum(total.max(axis=0), 65535)
-    total = np.where(total > 0, np.maximum(1, total * 65535 // most), 0)
-    used = np.flatnonzero(total.any(axis=0))
-    yield pd.DataFrame({"page": [key[0]], "task": [key[1]], "slot": [used.astype(np.uint16).tobytes()], "zeros": [total[0, used].astype(np.uint16).tobytes()], "ones": [total[1, used].astype(np.uint16).tobytes()]})
+            at = np.cumsum(_loose(slot), dtype=np.int64)
+            total[at, 0] += _loose(zeros)
+            total[at, 1] += _loose(ones)
+    slot, zeros, ones = _page(total)
+    yield pd.DataFrame({"page": [key[0]], "task": [key[1]], "slot": [slot], "zeros": [zeros], "ones": [ones]})
 
 
 def bit_tables(gathered: DataFrame) -> Tables:
-    """Merge the pages of all tasks in a tree and pack them on the driver (23 MB at any scale)."""
-    pages = gathered.where("page IS NOT NULL").select("page", "task", "slot", "zeros", "ones")
+    """Merge the pages of all tasks in a tree and pack them on the driver (13 MB at any scale)."""
+    pages = gathered.where("page >= 0").select("page", "task", "slot", "zeros", "ones")
     tasks = (pages.agg(F.max("task")).first()[0] or 0) + 1
     while True:
         tasks = -(-tasks // FAN)
@@ -290,36 +334,18 @@ def bit_tables(gathered: DataFrame) -> Tables:
         pages = stored(pages, "lm-pages")
     counts = np.zeros(int(_STARTS[-1]), np.uint16)
     for r in pages.toLocalIterator():
-        at = r.page * PAGE + np.frombuffer(r.slot, np.uint16).astype(np.int64)
-        counts[at] = _pack(np.frombuffer(r.zeros, np.uint16), np.frombuffer(r.ones, np.uint16))
+        at = r.page * PAGE + np.cumsum(_loose(r.slot), dtype=np.int64)
+        counts[at] = _pack(_loose(r.zeros), _loose(r.ones))
     return Tables(counts)
 
 
-def _fit(tables, schema: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.full((GATES, len(ORDERS)), 0.3)
-        curvature, seen = np.zeros((GATES, len(ORDERS), len(ORDERS))), np.zeros(GATES)
-        for texts in _chunks(tokens(t) for b in batches for t in b.column(0).to_pylist()):
-            contexts, place, sizes = distinct_contexts(texts)
-            often = np.bincount(place, minlength=len(contexts)).astype(float)
-            bits = bits_of(contexts)
-            x, gate = tables.value.inputs(contexts, bits, own_counts(place, sizes, len(contexts)))
-            fit_weights(x, gate, bits, often, weights, curvature)
-            seen += np.bincount(gate.ravel(), weights=np.repeat(often, 8), minlength=GATES)
-        g, k = np.divmod(np.arange(weights.size), len(ORDERS))
-        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(k), pa.array(weights.ravel() * seen[g]), pa.array(seen[g])], schema=schema)
-
-    return run
-
-
-def gated_weights(texts: DataFrame, tables) -> np.ndarray:
+def gated_weights(gathered: DataFrame) -> np.ndarray:
     """Weights by gate and order, averaged over tasks by the bits that they have seen."""
-    schema = T.StructType([T.StructField(c, t) for c, t in (("gate", T.LongType()), ("k", T.LongType()), ("sum", T.DoubleType()), ("seen", T.DoubleType()))])
-    fitted = stored(texts.mapInArrow(_fit(tables, to_arrow_schema(schema)), schema), "lm-weights")
-    weights = np.full((GATES, len(ORDERS)), 0.3)
-    for r in fitted.groupBy("gate", "k").agg(F.sum("sum").alias("sum"), F.sum("seen").alias("seen")).where("seen > 0").collect():  # GATES x ORDERS numbers
-        weights[r.gate, r.k] = r["sum"] / r.seen
-    return weights
+    weights = np.full(GATES * len(ORDERS), 0.3)
+    sums = gathered.where("page = -1").groupBy("task").agg(F.sum("w").alias("w"), F.sum("seen").alias("seen")).where("seen > 0")
+    for r in sums.collect():  # GATES x ORDERS numbers
+        weights[r.task] = r.w / r.seen
+    return weights.reshape(GATES, len(ORDERS))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
@@ -368,16 +394,17 @@ def _score(tables, weights: np.ndarray, total: int, distinct: int, schema: pa.Sc
         norm = np.log10(total + distinct + 1)
         base, counts, hits, scores, lengths = [], [], [], [], []
         for chunk in _chunks(tokens(t.as_py()) for t in column):
-            for t in chunk:
-                own = [known.get(w, 0.0) for w in t.split()]
-                own.append(known.get(END.encode(), 0.0))
-                base.append(sum(own) - len(own) * norm)
-                counts.append(len(own))
-                hits.append(len(own) - own.count(0.0))
-                lengths.append(len(t))
-            contexts, place, sizes = distinct_contexts(chunk)
-            x, top = mix(*tables.value.inputs(contexts), weights)
-            scores.append(refined_scores(x, top, bits_of(contexts), place, sizes))
+            words_of = [t[:-1].split() for t in chunk]
+            logs = np.array([known.get(w, 0.0) for ws in words_of for w in (*ws, END.encode())])
+            sizes = np.array([len(ws) + 1 for ws in words_of])
+            starts = np.cumsum(sizes) - sizes
+            base += (np.add.reduceat(logs, starts) - sizes * norm).tolist()
+            counts += sizes.tolist()
+            hits += np.add.reduceat(logs > 0, starts, dtype=np.int64).tolist()
+            lengths += [len(t) for t in chunk]
+            contexts, place, _ = distinct_contexts(chunk)
+            model = token_scores(byte_scores(tables.value, contexts, weights), place, chunk)
+            scores.append(refined_scores(model, logs - norm, sizes))
         new = [pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(scores), pa.float64()), pa.array(lengths, pa.int64())]
         return pa.Table.from_arrays([*[texts.column(c) for c in texts.column_names[1:-1]], *new], schema=schema)
 
@@ -399,7 +426,7 @@ def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str =
     words = stored(gathered.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tables = spark.sparkContext.broadcast(bit_tables(gathered))
-    weights = gated_weights(learned, tables)
+    weights = gated_weights(gathered)
     numbered = T.StructType([T.StructField("block", T.LongType()), *rows.schema.fields])
     texts = rows.mapInArrow(_block_texts(to_arrow_schema(numbered)), numbered)
     per_block = rows.select("body").mapInArrow(_block_words, "block bigint, word string")

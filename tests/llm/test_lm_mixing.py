@@ -49,26 +49,49 @@ def test_probabilities_of_all_bytes_sum_to_one():
     tables.counts[rng.integers(0, len(tables.counts), 1 << 20)] = rng.integers(0, 1 << 16, 1 << 20)
     weights = np.random.default_rng(1).normal(0.3, 0.1, (L.GATES, len(L.ORDERS)))
     contexts = np.array([(0x6162636465 << 8) | b for b in range(256)], np.uint64)
-    z, top = L.mix(*tables.inputs(contexts), weights)
-    scores = L.refined_scores(z, top, L.bits_of(contexts), np.arange(256), np.ones(256, np.int64))
-    assert abs(np.sum(10**scores) - 1) < 1e-4
+    scores = L.byte_scores(tables, contexts, weights)
+    assert np.allclose((10 ** scores.astype(float)).sum(axis=0), 1, atol=1e-4)
+
+
+def test_refinement_is_sequential():
+    """Token by token: shares of a step depend on the steps before alone."""
+    rng = np.random.default_rng(5)
+    sizes = np.array([1, 40, 200])
+    model, base = -rng.random((241, 5)) * 3, -rng.random(241) * 3
+    expected, at = [], 0
+    for n in sizes:
+        share, total = 32 * np.array([0.1] * 5 + [0.5]), 0.0
+        for t in range(0, n, 32):
+            p = 10 ** np.column_stack([model, base])[at + t : at + min(n, t + 32)]
+            parts = p * share / share.sum()
+            total += np.log10(parts.sum(axis=1)).sum()
+            share = share + (parts / parts.sum(axis=1, keepdims=True)).sum(axis=0)
+        expected.append(total)
+        at += n
+    assert np.allclose(L.refined_scores(model, base, sizes), expected)
+
+
+def test_token_scores_by_hand():
+    chunk = [L.tokens("ab c"), L.tokens(None)]
+    assert chunk == [b"ab c \n", b"\n"]
+    got = L.token_scores(np.arange(7.0)[:, None], np.arange(7), chunk)
+    assert got[:, 0].tolist() == [0 + 1 + 2, 3 + 4, 5, 6]
 
 
 def test_pages_merge_without_loss():
     import pandas as pd
 
     rng = np.random.default_rng(2)
-    whole, frames = np.zeros((2, L.PAGE), np.int64), []
+    whole, frames = np.zeros((L.PAGE, 2), np.int64), []
     for _ in range(5):
-        slot = np.sort(rng.choice(L.PAGE, 500, replace=False))
-        n = rng.integers(0, 900, (2, 500))
-        n[0] += 1
-        whole[:, slot] += n
-        frames.append({"page": 3, "task": 0, "slot": slot.astype(np.uint16).tobytes(), "zeros": n[0].astype(np.uint16).tobytes(), "ones": n[1].astype(np.uint16).tobytes()})
+        part = np.zeros((L.PAGE, 2), np.uint32)
+        part[rng.choice(L.PAGE, 500, replace=False)] = rng.integers(0, 900, (500, 2))
+        whole += part
+        frames.append(dict(zip(("slot", "zeros", "ones"), L._page(part))) | {"page": 3, "task": 0})
     (out,) = L._merge_pages((3, 0), iter([pd.DataFrame(frames[:2]), pd.DataFrame(frames[2:])]))
-    at = np.frombuffer(out["slot"][0], np.uint16)
-    assert (np.frombuffer(out["zeros"][0], np.uint16) == whole[0, at]).all() and (np.frombuffer(out["ones"][0], np.uint16) == whole[1, at]).all()
-    assert len(at) == (whole.any(axis=0)).sum()
+    at = np.cumsum(L._loose(out["slot"][0]), dtype=np.int64)
+    assert (L._loose(out["zeros"][0]) == whole[at, 0]).all() and (L._loose(out["ones"][0]) == whole[at, 1]).all()
+    assert len(at) == whole.any(axis=1).sum()
 
 
 def test_held_out_texts_are_not_learned(spark):
