@@ -8,22 +8,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS = Window.partitionBy("tile", "c").orderBy("r")
-COLUMNS = Window.partitionBy("tile", "r").orderBy("c")
+
+def down_rows():
+    return Window.partitionBy("tile", "c").orderBy("r")
+
+
+def along_columns():
+    return Window.partitionBy("tile", "r").orderBy("c")
 
 
 def boundary(px: DataFrame, label: str, name: str) -> DataFrame:
     """Thick boundary: any 4-neighbour in the tile has another label (null is a label)."""
     own = F.coalesce(F.col(label), F.lit(-1))
-    moved = [f(own, 1).over(w) for f in (F.lag, F.lead) for w in (ROWS, COLUMNS)]
+    moved = [f(own, 1).over(w) for f in (F.lag, F.lead) for w in (down_rows(), along_columns())]
     differs = [F.coalesce(m != own, F.lit(False)) for m in moved]
     return px.withColumn(name, differs[0] | differs[1] | differs[2] | differs[3])
 
 
 def dilated(px: DataFrame, mask: str, name: str) -> DataFrame:
     """3 x 3 dilation of a boolean mask, a maximum over rows and then columns."""
-    along = F.max(F.col(mask).cast("int")).over(ROWS.rowsBetween(-1, 1))
-    return px.withColumn("__rows", along).withColumn(name, F.max("__rows").over(COLUMNS.rowsBetween(-1, 1)) > 0).drop("__rows")
+    along = F.max(F.col(mask).cast("int")).over(down_rows().rowsBetween(-1, 1))
+    return px.withColumn("__rows", along).withColumn(name, F.max("__rows").over(along_columns().rowsBetween(-1, 1)) > 0).drop("__rows")
 
 
 def padded_edge(px: DataFrame, mask: Column, last: int, name: str) -> DataFrame:
@@ -44,7 +49,7 @@ def moving_std(px: DataFrame, value: str, size: int, last: int, name: str) -> Da
         return df.withColumn(at, F.explode(F.array_compact(F.array(*places))))
 
     wide = reflected(reflected(px.select("tile", "r", "c", F.col(value).alias("x")), "r"), "c").withColumn("xx", F.col("x") * F.col("x"))
-    for w in (ROWS, COLUMNS):
+    for w in (down_rows(), along_columns()):
         wide = wide.withColumns({c: F.sum(c).over(w.rowsBetween(-k, k)) for c in ("x", "xx")})
     n = float(size * size)
     inside = wide.where(F.col("r").between(0, last) & F.col("c").between(0, last))
