@@ -46,4 +46,4 @@ def test_contract_columns_and_rows(spark, oracle, name):
     types = dict(df.dtypes)
     assert {c: types.get(c) for c in COLUMNS[name]} == COLUMNS[name]
     table = "pages" if "page_id" in types else "documents"
-    assert df.count() == oracle.sql(f"SELECT count(*) FROM {table}").fetchone()[0]
+    assert df.count() == oracle.sql(f"SELECT count(*) FROM {table}").fetchall()[0][0]
