@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -73,3 +74,39 @@ def reflectance(x: Column) -> Column:
 
 def position_similarity(distance: Column, a: Column, b: Column) -> Column:
     return 1 - distance / (2 * F.sqrt((a + b) / F.pi()))
+
+
+def laea_to_degrees(x: Column, y: Column) -> tuple[Column, Column]:
+    """(longitude, latitude) of European equal-area coordinates (easting x, northing y in metres).
+
+    Inverse of the ellipsoidal Lambert azimuthal equal-area projection, by the published series
+    for the authalic latitude."""
+    # fixed values: GRS 80 and the European grid's origin (52 N, 10 E, false easting and northing)
+    a, e2, lat0, lon0, x0, y0 = 6378137.0, 0.006694380022900787, math.radians(52), math.radians(10), 4321000.0, 3210000.0
+    e = math.sqrt(e2)
+
+    def q(phi: float) -> float:
+        s = math.sin(phi)
+        return (1 - e2) * (s / (1 - e2 * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
+
+    qp = q(math.pi / 2)
+    beta0, rq = math.asin(q(lat0) / qp), a * math.sqrt(qp / 2)
+    d = a * math.cos(lat0) / math.sqrt(1 - e2 * math.sin(lat0) ** 2) / (rq * math.cos(beta0))
+    east, north = (x - x0) / d, (y - y0) * d
+    rho = F.hypot(east, north)
+    c = 2 * F.asin(rho / (2 * rq))
+    ratio = F.when(rho > 0, north * F.sin(c) / rho).otherwise(0.0)
+    beta = F.asin(F.cos(c) * math.sin(beta0) + ratio * math.cos(beta0))
+    lon = lon0 + F.atan2((x - x0) * F.sin(c), d * rho * math.cos(beta0) * F.cos(c) - d * d * (y - y0) * math.sin(beta0) * F.sin(c))
+    e4, e6 = e2 * e2, e2**3
+    lat = (
+        beta + (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * beta)
+        + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * beta) + (761 * e6 / 45360) * F.sin(6 * beta)
+    )
+    return F.degrees(F.when(rho > 0, lon).otherwise(lon0)), F.degrees(lat)
+
+
+def hyperbolised(x: Column, low: Column, high: Column, power: float = 0.8) -> Column:
+    """Fuzzy histogram hyperbolisation of a value between bounds, to [0, 1]."""
+    grey = F.pow((x - low) / (high - low), power)
+    return F.when(high > low, (F.exp(-grey) - 1) / (math.exp(-1) - 1))

@@ -69,3 +69,27 @@ def overlap_raster(inst: DataFrame) -> DataFrame:
     numbered = inst.withColumn("k", F.row_number().over(Window.partitionBy("tile").orderBy("inst")))
     rows = numbered.withColumn("r", F.explode(F.expr("sequence(y0, y0 + h - 1)"))).withColumn("c", F.explode(F.expr("sequence(x0, x0 + w - 1)")))
     return rows.groupBy("tile", "r", "c").agg(F.count("*").alias("n"), F.sum("k").alias("mask_sum"))
+
+
+def inner_rings(px: DataFrame, label: str, width: int, last: int) -> DataFrame:
+    """Pixels of each label that have a pixel of another label, or the outside of the tile, within
+    `width` steps along a row or column: the pixel version of a ring inside the outline."""
+    own = F.coalesce(F.col(label), F.lit(-1))
+    windows = [Window.partitionBy("tile", "c").orderBy("r"), Window.partitionBy("tile", "r").orderBy("c")]
+    near = F.lit(False)
+    for step in range(1, width + 1):
+        for w in windows:
+            for moved in (F.lag(own, step).over(w), F.lead(own, step).over(w)):
+                near = near | F.coalesce(moved != own, F.lit(True))
+    return px.where(F.col("r") <= last).withColumn(f"{label}_ring", near & F.col(label).isNotNull())
+
+
+def boundary_iou(px: DataFrame, pairs: DataFrame, width: int = 2, last: int = 15) -> DataFrame:
+    """Add iou_boundary: the overlap of the rings of two objects by their union (on pixels, an
+    approximation of rings of polygons)."""
+    both = inner_rings(inner_rings(px, "gt", width, last), "pred", width, last)
+    sizes = {k: both.where(f"{k}_ring").groupBy("tile", k).agg(F.count("*").alias(f"{k}_n")) for k in ("gt", "pred")}
+    shared = both.where("gt_ring AND pred_ring").groupBy("tile", "gt", "pred").agg(F.count("*").alias("shared"))
+    out = pairs.join(sizes["gt"], ["tile", "gt"], "left").join(sizes["pred"], ["tile", "pred"], "left").join(shared, ["tile", "gt", "pred"], "left")
+    n = F.coalesce("shared", F.lit(0))
+    return out.withColumn("iou_boundary", n / (F.col("gt_n") + F.col("pred_n") - n)).drop("gt_n", "pred_n", "shared")
