@@ -15,7 +15,7 @@ from .mixing import mix_sources
 from .pii_crf import find_pii
 from .simhash import simhash_components
 from .token_counts import count_tokens
-from .tool_calls import conversation_calls, conversation_schemas, link_tool_calls
+from .tool_calls import conversation_calls, conversation_schemas, link_tool_calls, other_messages
 from .toxicity import fit, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,8 +132,8 @@ SELECT conv_id, call_id, name, turn, result_turn, CAST(depth AS BIGINT) AS depth
 FROM s
 """)
 def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = conversation_calls(_table(spark, sf_dir, "conversations"))
-    linked = link_tool_calls(calls, results, conversation_schemas(spark))
+    messages = _table(spark, sf_dir, "conversations")
+    linked = link_tool_calls(*conversation_calls(messages), conversation_schemas(spark)).unionByName(other_messages(messages))
     return linked.withColumn("errors", F.array_join("errors", ","))
 
 

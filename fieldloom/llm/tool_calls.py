@@ -13,10 +13,14 @@ parameters, types, and names that the schema lacks. Records are serialised as ca
 keys sorted, no white space, absent values left out.
 
 Defined results: of calls with one identifier the one with the smallest turn, then name and
-arguments counts, and n_calls tells how many there were; results alike. A call without result
-and a result without call are rows of their own. Rows without identifier are linked to
-nothing and merged by conversation and turn. A parent that does not exist is none. Arguments
-that are null or not a JSON object are "invalid json". Empty tables give empty results.
+arguments counts, and n_calls tells how many there were; results alike. Where an identifier
+has several calls or results, the record lists all of them (`calls`, `results`) in that order.
+A call without result and a result without call are rows of their own. A row without
+identifier is linked to nothing and stays a row of its own. A parent that does not exist is
+none. Arguments that are null or not a JSON object are "invalid json". A tool's message that
+names no call is an orphan without identifier. Messages of no or of another role that are not
+explicit calls are neither calls nor results; `other_messages` gives each of them a row of
+status "other". Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -45,21 +49,28 @@ def _id(conv: Column, turn: Column) -> Column:
     return F.concat(F.lit("c"), conv.cast("string"), F.lit("-"), turn.cast("string"))
 
 
+def _part(path: str, kind: str = "string") -> Column:
+    return F.try_variant_get("v", path, kind)
+
+
+def _messages(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, role, body, v (the parsed object, if it is one) and whether it is an explicit call."""
+    m = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("body"))
+    m = m.withColumn("v", F.when(F.col("body").startswith("{"), F.try_parse_json("body")))
+    explicit = _part("$.id").isNotNull() & _part("$.name").isNotNull() & (F.coalesce("role", F.lit("")) != "tool")
+    return m.withColumn("explicit", F.coalesce(explicit, F.lit(False)))
+
+
 def conversation_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Read messages (conv_id, turn, role, text) as calls and results.
 
     Explicit ones are JSON objects: a call has id and name (and may have arguments and parent),
     a message of role `tool` is the result of its call_id. Otherwise a user's message is a call
     of `reply` whose parent is the user's message two turns before, the assistant's next message
-    is its result, and a system message is a call of `configure`.
+    is its result, and a system message is a call of `configure`. Other messages of role `tool`
+    are results without identifier.
     """
-    m = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("body"))
-    m = m.withColumn("v", F.when(F.col("body").startswith("{"), F.try_parse_json("body")))
-
-    def part(path: str, kind: str = "string") -> Column:
-        return F.try_variant_get("v", path, kind)
-
-    explicit = part("$.id").isNotNull() & part("$.name").isNotNull() & (F.coalesce("role", F.lit("")) != "tool")
+    m, part, explicit = _messages(messages), _part, F.col("explicit")
     implied_id = _id(F.col("conv_id"), F.col("turn"))
     arguments = F.when(F.col("role") == "user", F.to_json(F.struct(F.col("body").alias("prompt"), "turn"))).otherwise(F.to_json(F.struct(F.col("body").alias("instructions"))))
     calls = m.where(explicit | F.col("role").isin("user", "system")).select(
@@ -69,20 +80,37 @@ def conversation_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(explicit, F.to_json(F.try_variant_get("v", "$.arguments", "variant"))).otherwise(arguments).alias("arguments"),
         F.when(explicit, part("$.parent")).when(F.col("role") == "user", _id(F.col("conv_id"), F.col("turn") - 2)).alias("parent"),
     )
-    given = part("$.call_id").isNotNull() & (F.col("role") == "tool")
-    results = m.where(given | ((F.col("role") == "assistant") & ~F.coalesce(explicit, F.lit(False)))).select(
+    tool = F.col("role") == "tool"
+    given = part("$.call_id").isNotNull() & tool
+    results = m.where(tool | ((F.col("role") == "assistant") & ~explicit)).select(
         "conv_id", "turn",
-        F.when(given, part("$.call_id")).otherwise(_id(F.col("conv_id"), F.col("turn") - 1)).alias("call_id"),
+        F.when(tool, part("$.call_id")).otherwise(_id(F.col("conv_id"), F.col("turn") - 1)).alias("call_id"),
         F.when(given, F.coalesce(part("$.content"), F.lit(""))).otherwise(F.col("body")).alias("content"),
     )
     return calls, results
 
 
-def _merged(rows: DataFrame, fields: list[str], count: str) -> DataFrame:
-    """One row for each (conversation, identifier); without identifier, for each turn."""
-    alone = F.when(F.col("call_id").isNull(), F.col("turn"))
-    out = rows.groupBy("conv_id", "call_id", alone.alias("alone")).agg(F.min(F.struct(*fields)).alias("first"), F.count("*").alias(count))
-    return out.select("conv_id", "call_id", "alone", "first.*", count)
+def other_messages(messages: DataFrame) -> DataFrame:
+    """Messages that are neither calls nor results, a row each as `link_tool_calls` has them."""
+    known = F.coalesce(F.col("role").isin("user", "system", "assistant", "tool"), F.lit(False))
+    none = lambda kind: F.lit(None).cast(kind)
+    return _messages(messages).where(~F.col("explicit") & ~known).select(
+        "conv_id", none("string").alias("call_id"), none("string").alias("name"), "turn", none("long").alias("result_turn"),
+        none("long").alias("depth"), F.lit(0).cast("long").alias("n_calls"), F.lit(0).cast("long").alias("n_results"),
+        F.lit("other").alias("status"), none("array<string>").alias("errors"),
+        F.to_json(F.struct(F.col("body").alias("content"), "role", F.lit("other").alias("status"))).alias("record"),
+    )
+
+
+def _merged(rows: DataFrame, fields: list[str], count: str, every: str) -> DataFrame:
+    """One row for each (conversation, identifier), with the first of its rows and, where there
+    are several, all in `every`; rows without identifier stay as they are."""
+    row = F.struct(*fields)
+    out = rows.where("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.sort_array(F.collect_list(row)).alias("all"))
+    size = F.size("all").cast("long")
+    out = out.select("conv_id", "call_id", F.col("all")[0].alias("first"), size.alias(count), F.when(size > 1, F.col("all")).alias(every))
+    alone = rows.where("call_id IS NULL").select("conv_id", "call_id", row.alias("first"), F.lit(1).cast("long").alias(count))
+    return out.unionByName(alone, allowMissingColumns=True).select("conv_id", "call_id", "first.*", count, every)
 
 
 def call_depths(calls: DataFrame) -> DataFrame:
@@ -125,16 +153,16 @@ def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """One row for each identifier of calls and results.
+    """One row for each identifier of calls and results, and for each row without identifier.
 
     calls: conv_id, turn, call_id, name, arguments (JSON), parent. results: conv_id, turn, call_id,
     content. schemas: name, param, type, required. The result has conv_id, call_id, name, turn,
     result_turn, depth, n_calls, n_results, status (linked, early, pending or orphan), errors and
     record, the canonical JSON. Ordering a conversation by depth, turn, call_id is topological.
     """
-    c = stored(_merged(calls, ["turn", "name", "arguments", "parent"], "n_calls"), "tool-calls")
-    r = _merged(results, ["turn", "content"], "n_results").withColumnRenamed("turn", "result_turn")
-    checked = argument_errors(c, schemas).withColumnsRenamed({"conv_id": "c_conv", "call_id": "c_id", "alone": "c_alone"})
+    c = stored(_merged(calls, ["turn", "name", "arguments", "parent"], "n_calls", "calls"), "tool-calls")
+    r = _merged(results, ["turn", "content"], "n_results", "answers").withColumnRenamed("turn", "result_turn")
+    checked = argument_errors(c, schemas).withColumnsRenamed({"conv_id": "c_conv", "call_id": "c_id"})
     depths = call_depths(c).withColumnsRenamed({"conv_id": "d_conv", "call_id": "d_id"})
     checked = checked.join(depths, F.col("c_conv").eqNullSafe(F.col("d_conv")) & (F.col("c_id") == F.col("d_id")), "left").drop("d_conv", "d_id")
     both = checked.join(r, F.col("c_conv").eqNullSafe(F.col("conv_id")) & (F.col("c_id") == F.col("call_id")), "full")
@@ -146,7 +174,11 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     out = both.select(
         conv.alias("conv_id"), call.alias("call_id"), "name", "turn", "result_turn", "depth",
         F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"),
-        status.alias("status"), "errors", "canonical", "content",
+        status.alias("status"), "errors", "canonical", "content", "calls", F.transform("answers", lambda r: r["content"]).alias("answers"),
     )
-    record = F.to_json(F.struct(F.col("canonical").alias("arguments"), F.col("call_id").alias("id"), "name", F.col("content").alias("result"), "status"))
-    return out.withColumn("record", record).drop("canonical", "content")
+    calls = F.transform("calls", lambda c: F.struct(c["arguments"].alias("arguments"), c["name"].alias("name"), c["parent"].alias("parent"), c["turn"].alias("turn")))
+    record = F.to_json(F.struct(
+        F.col("canonical").alias("arguments"), calls.alias("calls"), F.col("call_id").alias("id"), "name",
+        F.col("content").alias("result"), F.col("answers").alias("results"), "status",
+    ))
+    return out.withColumn("record", record).drop("canonical", "content", "calls", "answers")

@@ -81,6 +81,25 @@ def test_conversations(spark):
     assert L.link_tool_calls(*empty, schemas).count() == 0
 
 
+def test_no_row_is_lost(spark, tmp_path):
+    """Messages without conversation, of other roles and of tools that name no call; several results."""
+    from fieldloom.llm.queries import op1_tool_call_linking
+
+    rows = [(None, 1, "user", "a"), (None, 1, "user", "b"), (None, 1, "system", "c"), (None, 2, "assistant", "d"), (None, 2, "assistant", "e")]
+    rows += [(1, 0, None, "f"), (1, 1, "developer", "g"), (1, 2, "tool", "plain h"), (1, 3, "tool", '{"x":1}'), (1, 4, None, None)]
+    rows += [(2, 0, "assistant", '{"id":"k","name":"add"}'), (2, 1, "tool", '{"call_id":"k","content":"i"}'), (2, 2, "tool", '{"call_id":"k","content":"j"}')]
+    rows += [(2, 3, "assistant", '{"id":"k","name":"sub"}')]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = op1_tool_call_linking(spark, str(tmp_path)).collect()
+    records = [(r.conv_id, r.status, json.loads(r.record)) for r in got]
+    assert sorted(x["arguments"].get("prompt", x["arguments"].get("instructions")) for c, s, x in records if s == "pending" and c is None) == ["a", "b", "c"]
+    assert {x["result"] for c, s, x in records if s == "orphan"} == {"d", "e", "plain h", '{"x":1}'}
+    assert {(x.get("role"), x["content"]) for c, s, x in records if s == "other"} == {(None, "f"), ("developer", "g"), (None, "")}
+    (k,) = [x for c, s, x in records if c == 2]
+    assert k["result"] == "i" and k["results"] == ["i", "j"] and [c["name"] for c in k["calls"]] == ["add", "sub"]
+    assert len(got) == 11
+
+
 def test_native_plan(spark):
     m = spark.createDataFrame([(1, 0, "user", "x")], "conv_id bigint, turn bigint, role string, text string")
     plan = L.link_tool_calls(*L.conversation_calls(m), L.conversation_schemas(spark))._jdf.queryExecution().toString()
