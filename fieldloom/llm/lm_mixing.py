@@ -17,7 +17,7 @@ One pass over every row that is learned from gathers, in each task:
 * gated weights, learned online: each chunk of texts is first predicted from the counts of the
   task so far, the weights take Newton steps on what was predicted, and only then are its bits
   counted. Weights are averaged over tasks by the bits they have seen.
-The merged bit tables (13 MB for a corpus of any size) are broadcast. Word counts are not, for
+The merged bit tables (23 MB for a corpus of any size) are broadcast. Word counts are not, for
 they grow: the texts are dealt into blocks of `BLOCK` bytes, the distinct words of each block
 fetch their counts by a join, and each block is scored together with its words.
 
@@ -48,19 +48,19 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ._common import stored
 
 #: Bytes before the predicted one that each predictor sees.
-ORDERS = (1, 2, 3, 4, 5)
-TABLE_BITS = (16, 19, 20, 21, 21)
+ORDERS = (1, 2, 3, 4, 6)
+TABLE_BITS = (16, 20, 21, 22, 22)
 #: Gates: how many predictors have seen the context, and how often the last of them has.
 OFTEN = (2, 4)
 GATES = (len(ORDERS) + 1) * (len(OFTEN) + 1)
 PAGE = 1 << 16
 #: Bytes of text that are analysed at a time, and bytes of a block that is scored with its words.
-CHUNK, BLOCK = 6 << 20, 16 << 20
+CHUNK, BLOCK = 3 << 20, 16 << 20
 FAN = 64
 #: Contexts that are worked on at a time, and the least curvature of a Newton step.
 PART, PRIOR = 1 << 14, 50.0
 #: How sharp the mixers of the last stage are.
-SHARPNESS = np.array([0.6, 0.85, 1.1], np.float32)
+SHARPNESS = np.array([0.5, 0.7, 0.85, 1.0, 1.15], np.float32)
 #: Words that a task counts before it sends what it has.
 WORDS = 300_000
 END = "\n"
@@ -322,7 +322,7 @@ def _merge_pages(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.Data
 
 
 def bit_tables(gathered: DataFrame) -> Tables:
-    """Merge the pages of all tasks in a tree and pack them on the driver (13 MB at any scale)."""
+    """Merge the pages of all tasks in a tree and pack them on the driver (23 MB at any scale)."""
     pages = gathered.where("page >= 0").select("page", "task", "slot", "zeros", "ones")
     tasks = (pages.agg(F.max("task")).first()[0] or 0) + 1
     while True:

@@ -78,6 +78,13 @@ def test_token_scores_by_hand():
     assert got[:, 0].tolist() == [0 + 1 + 2, 3 + 4, 5, 6]
 
 
+def test_longest_context_and_mixers():
+    """The last predictor tells the sixth byte before apart; five mixers refine its scores."""
+    contexts = np.array([(b << 56 - 8) | 0x6263646566 << 8 | 0x67 for b in (0x61, 0x7A)], np.uint64)
+    one, other = L.slots(contexts, len(L.ORDERS) - 1)
+    assert (one != other).all() and len(L.SHARPNESS) == 5
+
+
 def test_pages_merge_without_loss():
     import pandas as pd
 
