@@ -5,8 +5,8 @@ smoothed counts of words. The model codes the bytes of the tokens (a space after
 line feed as the end) bit by bit. Hashed-context predictors of several orders each keep counts
 of zeros and ones by context and position in the byte; their logits are combined by weights that
 a gate selects, by how many orders have seen the context and how often. The result is refined
-adaptively: mixers of different sharpness, and the base for words that it knows, give each token
-a probability, and a text is coded by their mean under shares that follow what has served its
+adaptively: mixers of different sharpness and the base give each token a probability (the base
+has one escape for all words that it does not know, which the mixers spell out), and a text is coded by their mean under shares that follow what has served its
 earlier tokens best. The sum over bits is a code length, hence total bits per byte and a log10
 probability.
 
@@ -186,6 +186,16 @@ def token_scores(scores: np.ndarray, place: np.ndarray, chunk: list[bytes]) -> n
     return np.add.reduceat(scores[place], starts, axis=0)
 
 
+def base_logs(logs: np.ndarray, norm: float, model: np.ndarray) -> np.ndarray:
+    """log10 probability of each token under the base, from log10(count + 1) and its norm.
+
+    Tokens of count 0 share one escape, 1 / norm, by the mean of the mixers, so that the
+    probabilities of all tokens sum to at most one."""
+    top = model.max(axis=1)
+    spelled = top + np.log10((10 ** (model - top[:, None])).mean(axis=1))
+    return logs - norm + np.where(logs > 0, 0.0, spelled)
+
+
 def refined_scores(model: np.ndarray, base: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """log10 probability of each text under the mean of the mixers and the base.
 
@@ -403,7 +413,7 @@ def _score(tables, weights: np.ndarray, total: int, distinct: int, schema: pa.Sc
             lengths += [len(t) for t in chunk]
             contexts, place, _ = distinct_contexts(chunk)
             model = token_scores(byte_scores(tables.value, contexts, weights), place, chunk)
-            scores.append(refined_scores(model, logs - norm, sizes))
+            scores.append(refined_scores(model, base_logs(logs, norm, model), sizes))
         new = [pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(scores), pa.float64()), pa.array(lengths, pa.int64())]
         return pa.Table.from_arrays([*[texts.column(c) for c in texts.column_names[1:-1]], *new], schema=schema)
 

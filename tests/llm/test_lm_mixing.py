@@ -85,6 +85,18 @@ def test_longest_context_and_mixers():
     assert (one != other).all() and len(L.SHARPNESS) == 5
 
 
+def test_token_probabilities_sum_to_at_most_one():
+    """Over 3 known and 997 unknown tokens, under the base and under the mixture."""
+    rng = np.random.default_rng(6)
+    model = rng.random((1000, 5))
+    model = np.log10(model / model.sum(axis=0))
+    counts = np.r_[[4, 2, 1], np.zeros(997)]
+    base = L.base_logs(np.log10(counts + 1), np.log10(counts.sum() + 3 + 1), model)
+    assert np.allclose(10 ** base[:3], (counts[:3] + 1) / 11)
+    assert (10**base).sum() <= 1 + 1e-9
+    assert (10 ** L.refined_scores(model, base, np.ones(1000, np.int64))).sum() <= 1 + 1e-9
+
+
 def test_pages_merge_without_loss():
     import pandas as pd
 
