@@ -12,12 +12,16 @@ probability.
 
 One pass over every row that is learned from gathers, in each task:
 * counts of words, summed by a shuffle, as many as there are words;
-* counts of bits in tables of fixed size (`TABLE_BITS`), whose pages are merged in a tree of
-  fan-in `FAN`, so that no task gets the pages of all tasks;
+* counts of bits in hashed tables, whose pages are merged in a tree of fan-in `FAN`, so that no
+  task gets the pages of all tasks;
 * gated weights, learned online: each chunk of texts is first predicted from the counts of the
   task so far, the weights take Newton steps on what was predicted, and only then are its bits
   counted. Weights are averaged over tasks by the bits they have seen.
-The merged bit tables (23 MB for a corpus of any size) are broadcast. Word counts are not, for
+The size of the bit tables follows the corpus: a pass before counts, on a hashed sample of one in
+`SAMPLE` contexts of each order, the slots that the corpus wants, and each table gets the least
+power of two of at least `ROOM` times that, and at least the size of `TABLE_BITS`. There is no
+upper bound: the memory of a task (8 bytes a slot to learn, 2 to score) grows as the number of
+distinct contexts does. The merged tables (2 bytes a slot) are broadcast. Word counts are not, for
 they grow: the texts are dealt into blocks of `BLOCK` bytes, the distinct words of each block
 fetch their counts by a join, and each block is scored together with its words.
 
@@ -45,11 +49,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._common import stored
+from ._common import stored, text_batches
 
 #: Bytes before the predicted one that each predictor sees.
 ORDERS = (1, 2, 3, 4, 6)
+#: The least sizes of their tables, as powers of two; slots for each one that the corpus wants.
 TABLE_BITS = (16, 20, 21, 22, 22)
+ROOM = 2
+#: One context in so many is looked at to size the tables.
+SAMPLE = 256
 #: Gates: how many predictors have seen the context, and how often the last of them has.
 OFTEN = (2, 4)
 GATES = (len(ORDERS) + 1) * (len(OFTEN) + 1)
@@ -65,8 +73,13 @@ SHARPNESS = np.array([0.5, 0.7, 0.85, 1.0, 1.15], np.float32)
 WORDS = 300_000
 END = "\n"
 
-_STARTS = np.cumsum([0, *(1 << b for b in TABLE_BITS)])
-_PAGES = int(_STARTS[-1]) // PAGE
+
+
+def starts(bits: tuple[int, ...]) -> np.ndarray:
+    return np.cumsum([0, *(1 << b for b in bits)])
+
+
+_STARTS = starts(TABLE_BITS)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NODE = np.uint64(0xD6E8FEB86659FD93)
 _LOW, _HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
@@ -78,18 +91,24 @@ def tokens(text: str | None) -> bytes:
     return b" ".join([*words, END.encode()])
 
 
-def distinct_contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (bytes before, byte) as integers, the number of each position, text sizes."""
+def positions(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(Bytes before, byte) of every position as an integer, text sizes."""
     reach = max(ORDERS)
     sizes = np.array([len(t) for t in texts], np.int64)
     data = b"\0" * 8 + b"".join(b"\0" * reach + t for t in texts)
     # every position as the eight bytes that end there, of which reach + 1 count
     ending = np.ndarray(len(data) - 8, ">u8", data, offset=1, strides=(1,))
     inside = np.ones(len(ending), bool)
-    starts = np.cumsum(sizes + reach) - sizes - reach
-    inside[(starts[:, None] + np.arange(reach)).ravel()] = False
+    firsts = np.cumsum(sizes + reach) - sizes - reach
+    inside[(firsts[:, None] + np.arange(reach)).ravel()] = False
     key = ending[inside].astype(np.uint64)
     key &= np.uint64((1 << (8 * reach + 8)) - 1)
+    return key, sizes
+
+
+def distinct_contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (bytes before, byte) as integers, the number of each position, text sizes."""
+    key, sizes = positions(texts)
     coded = pa.array(key.view(np.int64)).dictionary_encode()
     return coded.dictionary.to_numpy().view(np.uint64), coded.indices.to_numpy(), sizes
 
@@ -99,18 +118,24 @@ def bits_of(contexts: np.ndarray) -> np.ndarray:
     return np.unpackbits((contexts & np.uint64(255)).astype(np.uint8)[:, None], axis=1)
 
 
-def slots(contexts: np.ndarray, k: int) -> np.ndarray:
-    """Table positions of the k-th predictor for the eight bits of each context."""
-    order, size = ORDERS[k], TABLE_BITS[k]
+def _hashed(contexts: np.ndarray, order: int) -> np.ndarray:
     before = (contexts >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)
-    byte = contexts & np.uint64(255)
     hashed = (before + np.uint64(order << 56)) * _MIX
     hashed ^= hashed >> np.uint64(29)
-    out = np.empty((len(contexts), 8), np.int32)
+    return hashed
+
+
+def slots(contexts: np.ndarray, k: int, bits: tuple[int, ...] = TABLE_BITS) -> np.ndarray:
+    """Table positions of the k-th predictor for the eight bits of each context."""
+    order, size, first = ORDERS[k], bits[k], starts(bits)
+    byte = contexts & np.uint64(255)
+    hashed = _hashed(contexts, order)
+    kind = np.int32 if first[-1] < 1 << 30 else np.int64  # of twice a slot
+    out = np.empty((len(contexts), 8), kind)
     for j in range(8):
         node = np.uint64(1 << j) | (byte >> np.uint64(8 - j))
         out[:, j] = ((hashed + node * _NODE) * _MIX) >> np.uint64(64 - size)
-    return out + np.int32(_STARTS[k])
+    return out + kind(first[k])
 
 
 def logits(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -129,14 +154,14 @@ def gates(totals: list[np.ndarray]) -> np.ndarray:
 class Tables:
     """Merged counts of zeros and ones by slot as bytes; pairs over 255 are scaled down."""
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
+    def __init__(self, counts: np.ndarray, bits: tuple[int, ...] = TABLE_BITS):
+        self.counts, self.bits = counts, bits
         n0, n1 = np.meshgrid(np.arange(256, dtype=np.float32), np.arange(256, dtype=np.float32), indexing="ij")
         self.stretch = logits(n0, n1).astype(np.float32).ravel()
 
     def inputs(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Logits of all predictors (context, bit, order) and the gate (context, bit)."""
-        pairs = [np.take(self.counts, slots(contexts, k)) for k in range(len(ORDERS))]
+        pairs = [np.take(self.counts, slots(contexts, k, self.bits)) for k in range(len(ORDERS))]
         return np.stack([np.take(self.stretch, p) for p in pairs], axis=2), gates([(p & 255) + (p >> 8) for p in pairs])
 
 
@@ -239,8 +264,9 @@ def _chunks(texts: Iterator[bytes], most: int = CHUNK) -> Iterator[list[bytes]]:
 class Learner:
     """Counts and weights of one task, learned online."""
 
-    def __init__(self):
-        self.counts = np.zeros((int(_STARTS[-1]), 2), np.uint32)
+    def __init__(self, bits: tuple[int, ...] = TABLE_BITS):
+        self.bits = bits
+        self.counts = np.zeros((int(starts(bits)[-1]), 2), np.uint32)
         self.weights = np.full((GATES, len(ORDERS)), 0.3)
         self.curvature, self.seen = np.zeros((GATES, len(ORDERS), len(ORDERS))), np.zeros(GATES)
 
@@ -251,7 +277,7 @@ class Learner:
         kept, both = [], self.counts.view(np.uint64).ravel()  # zeros in the low half, ones in the high
         for at in range(0, len(contexts), PART):
             own, times = contexts[at : at + PART], often[at : at + PART]
-            bits, places = bits_of(own), [slots(own, k) for k in range(len(ORDERS))]
+            bits, places = bits_of(own), [slots(own, k, self.bits) for k in range(len(ORDERS))]
             pairs = [np.take(both, p) for p in places]
             zeros, ones = ([(p & _LOW).astype(np.float32) for p in pairs], [(p >> _HALF).astype(np.float32) for p in pairs])
             x = np.stack([logits(a, b) for a, b in zip(zeros, ones)], axis=2)
@@ -287,7 +313,7 @@ def _page(counts: np.ndarray) -> tuple[bytes, bytes, bytes] | None:
 _GATHERED = "page int, task int, word string, n bigint, slot binary, zeros binary, ones binary, w double, seen double"
 
 
-def _gather(schema: pa.Schema):
+def _gather(bits: tuple[int, ...], schema: pa.Schema):
     """Counts of words (page null), weights (page -1, task their number) and pages of bit counts of one task."""
 
     def rows(**columns):
@@ -302,7 +328,7 @@ def _gather(schema: pa.Schema):
             yield rows(word=[w.decode() for w, _ in part], n=[c for _, c in part])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, learner = Counter(), Learner()
+        words, learner = Counter(), Learner(bits)
         for texts in _chunks(tokens(t) for b in batches for t in b.column(0).to_pylist()):
             words.update(b" ".join(texts).split(b" "))  # ends are words of their own
             if len(words) > WORDS:
@@ -312,7 +338,7 @@ def _gather(schema: pa.Schema):
         gate = np.arange(learner.weights.size) // len(ORDERS)
         yield rows(page=[-1] * len(gate), task=list(range(len(gate))), w=(learner.weights.ravel() * learner.seen[gate]).tolist(), seen=learner.seen[gate].tolist())
         task = TaskContext.get().partitionId()
-        for page in range(_PAGES):
+        for page in range(len(learner.counts) // PAGE):
             if part := _page(learner.counts[page * PAGE : (page + 1) * PAGE]):
                 yield rows(page=[page], task=[task], slot=[part[0]], zeros=[part[1]], ones=[part[2]])
 
@@ -331,8 +357,29 @@ def _merge_pages(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.Data
     yield pd.DataFrame({"page": [key[0]], "task": [key[1]], "slot": [slot], "zeros": [zeros], "ones": [ones]})
 
 
-def bit_tables(gathered: DataFrame) -> Tables:
-    """Merge the pages of all tasks in a tree and pack them on the driver (23 MB at any scale)."""
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct (predictor, hashed context, byte) of each chunk, of the sampled contexts."""
+    top = np.uint64(64 - SAMPLE.bit_length() + 1)
+    for texts in _chunks(tokens(t) for b in batches for t in b.column(0).to_pylist()):
+        key, _ = positions(texts)
+        for k, order in enumerate(ORDERS):
+            hashed = _hashed(key, order)
+            own = np.flatnonzero(hashed * _NODE >> top == 0)
+            found = np.unique(np.stack([hashed[own], key[own] & np.uint64(255)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), k, np.int32)), pa.array(found[:, 0].view(np.int64)), pa.array(found[:, 1].astype(np.int32))], names=["k", "context", "byte"])
+
+
+def table_bits(learned: DataFrame) -> tuple[int, ...]:
+    """Table sizes as powers of two, from an estimate of the slots that the texts want."""
+    found = learned.mapInArrow(_sampled, "k int, context bigint, byte int").distinct()
+    nodes = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.pow(F.lit(2), j).cast("int") + F.floor(F.col("byte") / F.pow(F.lit(2), 8 - j)).cast("int"))
+    wanted = found.select("k", "context", F.explode(nodes).alias("node")).distinct().groupBy("k").count().collect()  # a row for each order
+    wanted = {r.k: r["count"] * SAMPLE for r in wanted if ORDERS[r.k] > 1}  # of order 1 there are fewer than 2^16
+    return tuple(max(b, (ROOM * wanted.get(k, 0) - 1).bit_length() if wanted.get(k) else 0) for k, b in enumerate(TABLE_BITS))
+
+
+def bit_tables(gathered: DataFrame, bits: tuple[int, ...] = TABLE_BITS) -> Tables:
+    """Merge the pages of all tasks in a tree and pack them on the driver (2 bytes a slot)."""
     pages = gathered.where("page >= 0").select("page", "task", "slot", "zeros", "ones")
     tasks = (pages.agg(F.max("task")).first()[0] or 0) + 1
     while True:
@@ -341,11 +388,11 @@ def bit_tables(gathered: DataFrame) -> Tables:
         if tasks <= 1:
             break
         pages = stored(pages, "lm-pages")
-    counts = np.zeros(int(_STARTS[-1]), np.uint16)
+    counts = np.zeros(int(starts(bits)[-1]), np.uint16)
     for r in pages.toLocalIterator():
         at = r.page * PAGE + np.cumsum(_loose(r.slot), dtype=np.int64)
         counts[at] = _pack(_loose(r.zeros), _loose(r.ones))
-    return Tables(counts)
+    return Tables(counts, bits)
 
 
 def gated_weights(gathered: DataFrame) -> np.ndarray:
@@ -431,10 +478,12 @@ def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str =
     )
     learned = rows.where(learn).select("body")
     form = spark.createDataFrame([], _GATHERED).schema
-    gathered = stored(learned.mapInArrow(_gather(to_arrow_schema(form)), form), "lm-gathered")
+    with text_batches(spark):
+        bits = table_bits(learned)
+    gathered = stored(learned.mapInArrow(_gather(bits, to_arrow_schema(form)), form), "lm-gathered")
     words = stored(gathered.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tables = spark.sparkContext.broadcast(bit_tables(gathered))
+    tables = spark.sparkContext.broadcast(bit_tables(gathered, bits))
     weights = gated_weights(gathered)
     numbered = T.StructType([T.StructField("block", T.LongType()), *rows.schema.fields])
     texts = rows.mapInArrow(_block_texts(to_arrow_schema(numbered)), numbered)

@@ -113,6 +113,17 @@ def test_pages_merge_without_loss():
     assert len(at) == whole.any(axis=1).sum()
 
 
+def test_table_sizes_follow_the_corpus(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(20_000)) for _ in range(80)]
+    sizes = [L.table_bits(spark.createDataFrame([(t,) for t in texts[:n]], "body string")) for n in (0, 4, 80)]
+    assert sizes[0] == L.TABLE_BITS and sizes[1][-1] == L.TABLE_BITS[-1] < sizes[2][-1]
+    contexts, _, _ = L.distinct_contexts([L.tokens(t) for t in texts])
+    bits = (16, 20, 21, 22, 30)
+    wanted = len(np.unique(L.slots(contexts, len(L.ORDERS) - 1, bits)))
+    assert wanted <= 1 << sizes[2][-1] <= 5 * wanted
+
+
 def test_held_out_texts_are_not_learned(spark):
     rows = corpus(60, 3)
     changed = [(i, "zz qq" if held_out(i) and i % 2 else t) for i, t in rows]
