@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ROW, with_row
+from ._common import ROW, stored, with_row
 from .decontamination import contained_items
 from .exact_dedup import exact_dedup
+from .jaccard_dedup import near_copies
 from .mixing import mix_sources
 from .simhash import simhash_components
 from .toxicity import fit, score_toxicity
@@ -38,9 +39,11 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of close fingerprints one row stays."""
+    """Of each component of near copies (five-word Jaccard of 0.8) one row stays, and of those
+    that stay one of each component of close fingerprints (three words, three bits)."""
     numbered = with_row(docs)
-    return _keep(numbered, simhash_components(numbered, carry=(ROW,)).where("is_first"))
+    apart = numbered.join(stored(near_copies(numbered), "near-copies").where("is_first").select(ROW), ROW, "left_semi")
+    return _keep(numbered, simhash_components(apart, carry=(ROW,)).where("is_first"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,6 +71,30 @@ def test_stages_one_by_one(spark, tmp_path):
         assert abs(sum(r.taken for r in own) - own[0].mix_target) <= 200
 
 
+def test_no_near_copy_stays(spark):
+    """Copies at a five-word Jaccard of 0.8, in a cluster of many, in a chain, and one just below."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(9000)}"
+    rows = []
+    for size in (3, 3, 2, 40):
+        text = [word() for _ in range(300)]
+        rows += [[*text[:k], word(), *text[k + 1 :]] for k in (rng.randrange(300) for _ in range(size))]
+    chain = [word() for _ in range(400)]
+    rows += [chain[k : k + 300] for k in range(0, 100, 25)]  # neighbours share 271 of 321 shingles
+    rows += [[word() for _ in range(300)] for _ in range(40)] + [["a", "b"], ["A", "b"], [], []]
+    far = [word() for _ in range(300)]
+    rows += [far, [word() for _ in range(50)] + far[50:]]  # 246 of 346
+    texts = [" ".join(r) for r in rows]
+    sets = [{tuple(r[k : k + 5]) for k in range(max(1, len(r) - 4))} for r in ([w.lower() for w in r] for r in rows)]
+    label = list(range(len(sets)))
+    close = [[j for j in range(len(sets)) if len(s & sets[j]) >= 0.8 * len(s | sets[j])] for s in sets]
+    while (new := [min(label[j] for j in c) for c in close]) != label:
+        label = new
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in stages.simhash_stage(spark, docs, "").collect()) == sorted(set(label))
+    assert len(set(label)) == 4 + 1 + 40 + 2 + 2
+
+
 def test_run_applies_all_stages(spark, tmp_path):
     rows, toxic, items = corpus(tmp_path, spark)
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
