@@ -1,7 +1,8 @@
-"""What the text operators share: the shared folder, stored intermediate tables, row numbers."""
+"""What the text operators share: the shared folder, stored intermediate tables, row keys."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -12,18 +13,23 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but ASCII white space, in every operator here.
 SPACE = "[\\x20\\x09-\\x0D]+"
 
-#: Name of the row number that filtering stages carry through an operator.
+#: Name of the row key that filtering stages carry through an operator.
 ROW = "__row"
 
 _own: dict[str, str] = {}
+#: Paths written within each `scratch`, the innermost last.
+_written: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Only where the setting is missing, as in local tests, a folder of our own is made.
+    Where the setting is missing a folder of our own is made, but only if driver and executors
+    are one process; on a cluster that would lose what other machines write, so it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found or _own.setdefault("dir", tempfile.mkdtemp(prefix="fieldloom-"))
 
 
@@ -44,24 +50,59 @@ def text_batches(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables stored while this holds are deleted at its end, so only what is read by then may need them."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for path in _written.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again.
 
     This cuts lineage, so that a lost executor costs a read and not the work before it, and
-    gives the optimiser real sizes. The files stay until the owner of the folder clears it,
-    for the returned DataFrame reads them lazily.
+    gives the optimiser real sizes. The returned DataFrame reads the files lazily: they go with
+    the innermost `scratch`, or stay until the owner of the folder clears it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fieldloom/{name}-{uuid.uuid4().hex}"
+    if _written:
+        _written[-1].append(path)
     with text_batches(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _positions_hold(docs: DataFrame) -> bool:
+    """Whether the rows are those of Parquet files, filtered and projected at most, each file read once."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    try:
+        roots = plan.relation().location().rootPaths()
+        docs.select(docs.metadataColumn("_metadata")["row_index"])
+    except Exception:  # no scan of files, or of files without row positions
+        return False
+    return roots.distinct().size() == roots.size()
+
+
 def with_row(docs: DataFrame) -> DataFrame:
-    """Number the rows of a stored table. The number depends on the files and splits alone,
-    so a task that runs again gives the same ones."""
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+    """Add the key `ROW` of each row: a hash of its file's path, and its position in the file.
+
+    The key is the same however often and by however many splits the table is read. A table that
+    is anything but a plain scan of Parquet files is stored first. A table with the key keeps it."""
+    if ROW in docs.columns:
+        return docs
+    docs = docs if _positions_hold(docs) else stored(docs, "numbered")
+    where = docs.metadataColumn("_metadata")
+    return docs.withColumn(ROW, F.struct(F.call_function("xxhash64", where["file_path"]).alias("file"), where["row_index"].alias("at")))
 
 
 def lower_ascii(text: Column) -> Column:

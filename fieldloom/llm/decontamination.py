@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ROW, SPACE, stored
+from ._common import ROW, SPACE, stored, with_row
 
 #: Most rows of sketches or item shingles that are broadcast (under 200 bytes each).
 BROADCAST_ROWS = 500_000
@@ -62,9 +62,9 @@ def contained_items(
     listed = items.select(F.col(item_col).alias("item_id"), F.monotonically_increasing_id().alias("item"), _words(F.col(item_text_col)).alias("w"))
     listed = stored(listed.where(F.element_at("w", 1) != "").withColumn("width", F.least(F.lit(width), F.size("w"))), "decon-items")
     widths = [r[0] for r in listed.select("width").distinct().orderBy("width").collect()]  # at most `width` numbers
-    base = docs.select(
+    base = with_row(docs).select(
         F.col(id_col).alias("doc_id"),
-        (F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias("rid"),
+        F.col(ROW).alias("rid"),
         *[F.col(c).alias(f"carry_{c}") for c in carry],
         _words(F.col(text_col)).alias("w"),
     )

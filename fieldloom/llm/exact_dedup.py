@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ROW, SPACE, stored
+from ._common import ROW, SPACE, stored, with_row
 
 #: Fingerprints that one merge task is meant to hold, when the number of runs is chosen.
 PER_MERGE = 1 << 20
@@ -124,10 +124,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when they are identical without white space. Of equal texts the row with
     the most code points stays, then the smallest id.
     """
-    base = docs.select(
+    base = with_row(docs).select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("body"),
-        (F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias("rid"),
+        F.col(ROW).alias("rid"),
         *[F.col(c).alias(f"carry_{c}") for c in carry],
     )
     base = base.withColumn("norm", normalised(F.col("body"))).withColumn("fp", F.xxhash64("norm"))

@@ -76,11 +76,12 @@ def _verify(width: int, least: float):
 
 
 def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row number, is_first) of each row of a numbered table: one row of each component of near
+    """(row key, is_first) of each row of a table with row keys: one row of each component of near
     copies, the one with the smallest id, is the first."""
     base = docs.select(F.col(ROW).alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("body"))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = stored(base.mapInArrow(_sketch(width), f"rid bigint, doc_id {kind}, same binary, keys array<bigint>"), "jaccard-rows")
+    key = docs.schema[ROW].dataType.simpleString()
+    rows = stored(base.mapInArrow(_sketch(width), f"rid {key}, doc_id {kind}, same binary, keys array<bigint>"), "jaccard-rows")
     low = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("low")
     nodes = stored(rows.groupBy("same").agg(low, F.first("keys").alias("keys")).select(F.col("low.rid").alias("node"), "low", "same", "keys"), "jaccard-nodes")
     crowds = nodes.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("all")).where(F.size("all") > 1)
@@ -93,7 +94,7 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
         one = members.where((F.col("pos") >= at) & (F.col("pos") < at + front)).select("crowd", F.col("pos").alias("p"), F.col("node").alias("a"), F.col("root").alias("r"))
         pairs = members.join(one, "crowd").where("pos > p AND root <> r").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         pairs = pairs.join(texts.toDF("a", "s"), "a").join(texts.toDF("b", "t"), "b").select("a", "b", "s", "t")
-        found = stored(pairs.mapInArrow(_verify(width, least), "a bigint, b bigint"), "jaccard-links")
+        found = stored(pairs.mapInArrow(_verify(width, least), f"a {key}, b {key}"), "jaccard-links")
         links = found if links is None else links.union(found)
         roots = stored(components(links, "a", "b"), "jaccard-roots")
         at, front = at + front, front * 2

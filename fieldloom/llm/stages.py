@@ -1,7 +1,7 @@
 """The operators as stages of a corpus pipeline: documents in, documents out.
 
-A stage numbers the rows of its input, lets the operator decide on rows, and keeps the rows
-whose numbers stay, so that repeated ids and extra columns pass through untouched. An operator
+A stage gives the rows of its input keys, lets the operator decide on rows, and keeps the rows
+whose keys stay, so that repeated ids and extra columns pass through untouched. An operator
 that meets null texts, empty or very long ones, ties, repeated rows or an empty table does here
 what its own docstring says.
 """
@@ -21,7 +21,7 @@ from .toxicity import fit, score_toxicity
 
 
 def _keep(numbered: DataFrame, kept: DataFrame) -> DataFrame:
-    """The numbered rows whose number is in `kept`, with the columns of the documents."""
+    """The rows whose key is in `kept`, with the columns of the documents."""
     return numbered.join(kept.select(ROW), ROW, "left_semi").drop(ROW)
 
 

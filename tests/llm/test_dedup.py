@@ -122,3 +122,50 @@ def test_simhash_components_of_documents(spark):
     assert got[4].component_id == got[2].component_id == 2
     assert got[5].component_id == got[7].component_id and got[None].component_id == got[5].component_id
     assert sum(r.is_first for r in got.values()) == len({r.component_id for r in got.values()})
+
+
+SPLITS = {"spark.sql.files.minPartitionNum": "31", "spark.sql.files.maxPartitionBytes": "40k", "spark.sql.files.openCostInBytes": "0"}
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_rows_keep_their_keys_when_splits_change(spark, tmp_path, shuffled):
+    """The operator plans with some splits and the action runs with others, as when cores come or go."""
+    from fieldloom.llm import stages
+    from fieldloom.llm.decontamination import contained_items
+
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    items = [(k, text(20)) for k in range(5)]
+    texts = [text(60) + (" " + items[k % 5][1] if k % 9 == 0 else "") for k in range(400)]
+    rows = [(k, texts[k % 400] + " " * (k // 400), "en", "ab"[k % 2], 1) for k in range(900)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(6).write.option("parquet.block.size", 16384).parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(k, 0, int("w1 " in rows[k][1])) for k in range(900)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    docs = docs.repartition(7) if shuffled else docs
+    made = [stage(spark, docs, str(tmp_path)) for stage in (stages.toxicity_stage, stages.exact_dedup_stage, stages.simhash_stage, stages.decontamination_stage)]
+    made += [exact_dedup(docs), contained_items(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet"))]
+    for k, v in SPLITS.items():
+        spark.conf.set(k, v)
+    try:
+        clean, exact, near, apart, all_, found = [m.collect() for m in made]
+    finally:
+        for k in SPLITS:
+            spark.conf.unset(k)
+    leaked = {k for k in range(900) if k % 400 % 9 == 0}
+    assert len({r.doc_id for r in clean}) == len(clean) > 0
+    assert [len({r.text.strip() for r in x}) for x in (exact, near)] == [len(exact), len(near)] == [400, 400]
+    assert sorted(r.doc_id for r in apart) == sorted(set(range(900)) - leaked) and sorted(r.doc_id for r in found) == sorted(leaked)
+    assert sorted((r.doc_id, r.keep_id % 400, r.group_size) for r in all_) == [(k, k % 400, 3 if k % 400 < 100 else 2) for k in range(900)]
+
+
+def test_scratch_tables_go(spark):
+    import glob
+
+    from fieldloom.llm._common import scratch, shared_dir, stored
+
+    with scratch(spark):
+        assert stored(spark.range(3), "gone").count() == 3
+    kept = stored(spark.range(3), "stays")
+    assert not glob.glob(f"{shared_dir(spark)}/fieldloom/gone-*") and kept.count() == 3
