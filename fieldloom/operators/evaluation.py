@@ -5,11 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.operators import neighbourhood as nb
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
+def rastered(px: DataFrame) -> DataFrame:
+    """The pixels that raster metrics count: those of `field_mask`, with the boundaries `gb` and `pb`
+    of both labels and their 2 x 2 dilations `gd` and `pd`. Dilations see the whole tile.
+
+    One shuffle by tile serves all windows."""
+    px = nb.boundary(nb.boundary(px.repartition("tile"), "gt", "gb"), "pred", "pb")
+    px = nb.dilated(nb.dilated(nb.field_mask(px, "gt", "inside"), "gb", "gd", 2), "pb", "pd", 2)
+    return px.where("inside").drop("inside")
+
+
+def tolerant_f1(px: DataFrame) -> DataFrame:
+    """(tile, f1_b): predicted boundaries near true ones against true ones near predicted ones.
+
+    A share of nothing is 0, and the score is null if both shares are."""
+    share = lambda a, b: F.coalesce(F.count_if(F.col(a) & F.col(b)) / F.nullif(F.count_if(F.col(a)), F.lit(0)), F.lit(0.0))
+    shares = px.groupBy("tile").agg(share("pb", "gd").alias("p"), share("gb", "pd").alias("q"))
+    return shares.select("tile", _ratio(2 * F.col("p") * F.col("q"), F.col("p") + F.col("q")).alias("f1_b"))
+
+
 def confusion(df: DataFrame, gt: Column, pred: Column, group: list[str]) -> DataFrame:
     """Counts, accuracy, precision, recall and F1 of boolean columns (0/0 is null)."""
     counts = df.groupBy(*group).agg(

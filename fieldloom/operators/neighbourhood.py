@@ -25,10 +25,19 @@ def boundary(px: DataFrame, label: str, name: str) -> DataFrame:
     return px.withColumn(name, differs[0] | differs[1] | differs[2] | differs[3])
 
 
-def dilated(px: DataFrame, mask: str, name: str) -> DataFrame:
-    """3 x 3 dilation of a boolean mask, a maximum over rows and then columns."""
-    along = F.max(F.col(mask).cast("int")).over(down_rows().rowsBetween(-1, 1))
-    return px.withColumn("__rows", along).withColumn(name, F.max("__rows").over(along_columns().rowsBetween(-1, 1)) > 0).drop("__rows")
+def dilated(px: DataFrame, mask: str, name: str, size: int = 3) -> DataFrame:
+    """Dilation of a boolean mask by a square, a maximum over rows and then columns.
+
+    A square of even size has no middle: it reaches one step further up and left than down and
+    right, so size 2 looks at a pixel, the one above, the one to the left and the one between."""
+    before, after = size // 2, (size - 1) // 2
+    along = F.max(F.col(mask).cast("int")).over(down_rows().rowsBetween(-before, after))
+    return px.withColumn("__rows", along).withColumn(name, F.max("__rows").over(along_columns().rowsBetween(-before, after)) > 0).drop("__rows")
+
+
+def field_mask(px: DataFrame, label: str, name: str) -> DataFrame:
+    """Fields and the pixels next to them: where agricultural land is, with its outer boundaries."""
+    return dilated(px.withColumn("__field", F.coalesce(F.col(label) > 0, F.lit(False))), "__field", name).drop("__field")
 
 
 def padded_edge(px: DataFrame, mask: Column, last: int, name: str) -> DataFrame:

@@ -129,32 +129,45 @@ def dilate3(spark, sf_dir):
     return _dilated(spark, sf_dir).select("tile", "r", "c", "gd")
 
 
-@query("boundary_f1", _DILATED + f", n AS (SELECT tile, {_COUNTS.replace('(g ', '(gb ').replace('NOT g', 'NOT gb').replace('AND p)', 'AND pb)').replace('NOT p)', 'NOT pb)')} FROM d WHERE gd GROUP BY tile) SELECT tile, tp, fp, fn, tn, {_SCORES} FROM n")
+def _square2(mask, name, source):
+    """Dilation by the 2 x 2 square of a pixel, the one above, the one to the left and the one between."""
+    return f"""{name}0 AS (SELECT *, greatest(CAST({mask} AS INT), coalesce(lag(CAST({mask} AS INT)) OVER (PARTITION BY tile, c ORDER BY r), 0)) AS {name}i FROM {source}),
+{name} AS (SELECT *, greatest({name}i, coalesce(lag({name}i) OVER (PARTITION BY tile, r ORDER BY c), 0)) > 0 AS {name} FROM {name}0)"""
+
+
+#: The pixels next to or in a field, their boundaries and the boundaries' dilations.
+_RASTER = _BOUNDS + f""", fl AS (SELECT DISTINCT a.tile, a.r + dr - 1 AS r, a.c + dc - 1 AS c FROM px a, range(3) x(dr), range(3) y(dc) WHERE a.gt > 0),
+{_square2('gb', 'gd', 'pb')}, {_square2('pb', 'pd', 'gd')}, rs AS (SELECT pd.* FROM pd SEMI JOIN fl USING (tile, r, c))"""
+_BOUND_COUNTS = _COUNTS.replace("(g ", "(gb ").replace("NOT g", "NOT gb").replace("AND p)", "AND pb)").replace("NOT p)", "NOT pb)")
+_ZERO_SCORES = """round((tp + tn) / (tp + fp + fn + tn) + 1e-9, 6) AS accuracy, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END + 1e-9, 6) AS precision,
+  round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END + 1e-9, 6) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END + 1e-9, 6) AS f1"""
+
+
+def _bound_counts(spark, sf_dir):
+    return ev.confusion(ev.rastered(pixels(spark, sf_dir)), F.col("gb"), F.col("pb"), ["tile"])
+
+
+@query("boundary_f1", _RASTER + f", n AS (SELECT tile, {_BOUND_COUNTS} FROM rs GROUP BY tile) SELECT tile, tp, fp, fn, tn, {_ZERO_SCORES} FROM n")
 def boundary_f1(spark, sf_dir):
-    """Boundary scores inside the dilated true boundary."""
-    return _rounded(ev.confusion(_dilated(spark, sf_dir).where("gd"), F.col("gb"), F.col("pb"), ["tile"]))
+    """Boundary scores in and next to the fields; a score of nothing is 0."""
+    return _rounded(_bound_counts(spark, sf_dir).fillna(0.0, ["precision", "recall", "f1"]))
 
 
-@query("boundary_f1_tolerant", _DILATED + """, n AS (SELECT tile, count(*) FILTER (pb AND gd) / nullif(count(*) FILTER (pb), 0) AS p, count(*) FILTER (gb AND pd) / nullif(count(*) FILTER (gb), 0) AS q FROM d GROUP BY tile)
+@query("boundary_f1_tolerant", _RASTER + """, n AS (SELECT tile, coalesce(count(*) FILTER (pb AND gd) / nullif(count(*) FILTER (pb), 0), 0) AS p, coalesce(count(*) FILTER (gb AND pd) / nullif(count(*) FILTER (gb), 0), 0) AS q FROM rs GROUP BY tile)
 SELECT tile, round(2 * p * q / nullif(p + q, 0) + 1e-9, 6) AS f1_b FROM n""")
 def boundary_f1_tolerant(spark, sf_dir):
-    """Precision of predicted boundaries near true ones and recall of true ones near predicted ones."""
-    p = F.count_if(F.col("pb") & F.col("gd")) / F.nullif(F.count_if(F.col("pb")), F.lit(0))
-    q = F.count_if(F.col("gb") & F.col("pd")) / F.nullif(F.count_if(F.col("gb")), F.lit(0))
-    scores = _dilated(spark, sf_dir).groupBy("tile").agg(p.alias("p"), q.alias("q"))
-    return scores.select("tile", stable(2 * F.col("p") * F.col("q") / F.nullif(F.col("p") + F.col("q"), F.lit(0))).alias("f1_b"))
+    return ev.tolerant_f1(ev.rastered(pixels(spark, sf_dir))).withColumn("f1_b", stable("f1_b"))
 
 
-@query("boundary_f1_weighted", _DILATED + f""", n AS (SELECT tile, {_COUNTS.replace('(g ', '(gb ').replace('NOT g', 'NOT gb').replace('AND p)', 'AND pb)').replace('NOT p)', 'NOT pb)')} FROM d WHERE gd GROUP BY tile),
+@query("boundary_f1_weighted", _RASTER + f""", n AS (SELECT tile, {_BOUND_COUNTS} FROM rs GROUP BY tile),
 w AS (SELECT *, (fp + tn) / (tp + fp + fn + tn) AS wp, (tp + fn) / (tp + fp + fn + tn) AS wn FROM n)
 SELECT tile, round((CASE WHEN 2 * wp * tp + wn * fp + wp * fn <> 0 THEN 2 * wp * tp / (2 * wp * tp + wn * fp + wp * fn) END
   + CASE WHEN 2 * wn * tn + wn * fp + wp * fn <> 0 THEN 2 * wn * tn / (2 * wn * tn + wn * fp + wp * fn) END) / 2 + 1e-9, 6) AS f1_w FROM w""")
 def boundary_f1_weighted(spark, sf_dir):
-    counts = ev.confusion(_dilated(spark, sf_dir).where("gd"), F.col("gb"), F.col("pb"), ["tile"])
-    return ev.balanced_f1(counts).select("tile", stable("f1_w").alias("f1_w"))
+    return ev.balanced_f1(_bound_counts(spark, sf_dir)).select("tile", stable("f1_w").alias("f1_w"))
 
 
-_CELLS = f"WITH {PX}, x AS (SELECT tile, coalesce(gt, -1) AS g, coalesce(pred, -1) AS p, count(*) AS n FROM px GROUP BY ALL)"
+_CELLS = _RASTER + ", x AS (SELECT tile, coalesce(gt, -1) AS g, coalesce(pred, -1) AS p, count(*) AS n FROM rs GROUP BY ALL)"
 
 
 @query("adjusted_rand", _CELLS + """, a AS (SELECT tile, sum(n * (n - 1) / 2) AS s, sum(n) AS t FROM x GROUP BY tile),
@@ -163,7 +176,7 @@ p AS (SELECT tile, sum(m * (m - 1) / 2) AS sp FROM (SELECT tile, p, sum(n) AS m
 SELECT tile, round(CASE WHEN (sg + sp) / 2 = sg * sp / (t * (t - 1) / 2) THEN 1.0 ELSE (s - sg * sp / (t * (t - 1) / 2)) / ((sg + sp) / 2 - sg * sp / (t * (t - 1) / 2)) END + 1e-9, 6) AS rand
 FROM a JOIN g USING (tile) JOIN p USING (tile)""")
 def adjusted_rand(spark, sf_dir):
-    return ev.adjusted_rand(pixels(spark, sf_dir)).select("tile", stable("rand").alias("rand"))
+    return ev.adjusted_rand(ev.rastered(pixels(spark, sf_dir))).select("tile", stable("rand").alias("rand"))
 
 
 @query("v_measure", _CELLS + """, a AS (SELECT tile, sum(n * ln(n)) AS s, sum(n) AS t FROM x GROUP BY tile),
@@ -173,7 +186,7 @@ h AS (SELECT tile, ln(t) - sg / t AS hg, ln(t) - sp / t AS hp, ln(t) - s / t AS
 v AS (SELECT tile, CASE WHEN hg > 1e-12 THEN (hg + hp - hh) / hg ELSE 1.0 END AS ho, CASE WHEN hp > 1e-12 THEN (hg + hp - hh) / hp ELSE 1.0 END AS co FROM h)
 SELECT tile, round(CASE WHEN ho + co > 0 THEN 2 * ho * co / (ho + co) ELSE 0.0 END + 1e-9, 6) AS v_measure FROM v""")
 def v_measure(spark, sf_dir):
-    return ev.v_measure(pixels(spark, sf_dir)).select("tile", stable("v_measure").alias("v_measure"))
+    return ev.v_measure(ev.rastered(pixels(spark, sf_dir))).select("tile", stable("v_measure").alias("v_measure"))
 
 
 @query("coco_gt_annotations", f"WITH {PX} SELECT tile, gt AS label, count(*) AS area, min(c) AS x, min(r) AS y, max(c) - min(c) + 1 AS w, max(r) - min(r) + 1 AS h, count(*) / 65536 AS score FROM px WHERE gt IS NOT NULL GROUP BY tile, gt")
