@@ -84,32 +84,64 @@ def v_measure(px: DataFrame) -> DataFrame:
     return both.select("tile", F.when(homogeneity + completeness > 0, 2 * homogeneity * completeness / (homogeneity + completeness)).otherwise(0.0).alias("v_measure"))
 
 
-def average_precision(pairs: DataFrame, truths: int, detections: DataFrame, thresholds: list[float]) -> DataFrame:
-    """(iou_thr, ap, recall): interpolated average precision over 101 recalls for disjoint labels.
-
-    pairs: tile, gt, pred, iou. detections: tile, pred, score. A detection is true at a threshold
-    if it is the best of an object and the object is the best of it; false otherwise. Detections
-    are ordered by score over the whole table, cumulated by distinct score after aggregation, so
-    the ordered table is as small as the set of scores.
-    """
-    spark = pairs.sparkSession
-    steps = spark.createDataFrame([(t,) for t in thresholds], "iou_thr double")
-    candidates = pairs.join(detections, ["tile", "pred"]).crossJoin(F.broadcast(steps)).where("iou >= iou_thr")
-    by_gt = Window.partitionBy("iou_thr", "tile", "gt").orderBy(F.desc("score"), "pred")
-    by_dt = Window.partitionBy("iou_thr", "tile", "pred").orderBy(F.desc("iou"), "gt")
-    hits = candidates.withColumn("a", F.row_number().over(by_gt)).withColumn("b", F.row_number().over(by_dt)).where("a = 1 AND b = 1").select("iou_thr", "tile", "pred", F.lit(1).alias("hit"))
-    all_ = detections.crossJoin(F.broadcast(steps)).join(hits, ["iou_thr", "tile", "pred"], "left")
-    scores = all_.groupBy("iou_thr", "score").agg(F.count("*").alias("n"), F.sum(F.coalesce("hit", F.lit(0))).alias("hits"))
-    so_far = Window.partitionBy("iou_thr").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = scores.withColumn("seen", F.sum("n").over(so_far)).withColumn("tp", F.sum("hits").over(so_far))
-    curve = curve.withColumn("recall", F.col("tp") / truths).withColumn("precision", F.col("tp") / F.col("seen"))
-    best = curve.withColumn("best", F.max("precision").over(Window.partitionBy("iou_thr").orderBy(F.desc("score")).rowsBetween(0, Window.unboundedFollowing)))
-    levels = spark.range(101).select((F.col("id") / 100.0).alias("level"))
-    # the first score at which the recall reaches a level
-    reached = best.crossJoin(F.broadcast(levels)).where("recall >= level - 1e-12").groupBy("iou_thr", "level").agg(F.max("best").alias("p"))
-    ap = reached.groupBy("iou_thr").agg((F.sum("p") / 101).alias("ap"))
-    top = curve.groupBy("iou_thr").agg(F.max("recall").alias("recall"))
-    return top.join(ap, "iou_thr", "left").select("iou_thr", F.coalesce("ap", F.lit(0.0)).alias("ap"), "recall")
+#: Inclusive bounds of the size classes of objects, as areas in pixels; the first takes all.
+SIZES = {"all": (0, 65536), "s": (0, 100), "m": (100, 250), "l": (250, 65536)}
+THRESHOLDS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
+
+
+def matched_detections(px: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((tile, gt, gt_area), (tile, pred, area, iou, gt_area)) of disjoint labels from one aggregation of
+    the pixels; iou and gt_area are null for a detection that shares no half of a union with an object.
+
+    Labels of a side do not overlap, so over one half the pair is the only one of both; at exactly
+    one half the object takes its largest detection and the detection its lowest object."""
+    cells = px.groupBy("tile", "gt", "pred").agg(F.count("*").alias("n"))
+    truths = cells.where("gt IS NOT NULL").groupBy("tile", "gt").agg(F.sum("n").alias("gt_area"))
+    found = cells.where("pred IS NOT NULL").groupBy("tile", "pred").agg(F.sum("n").alias("area"))
+    pairs = cells.where("gt IS NOT NULL AND pred IS NOT NULL").join(truths, ["tile", "gt"]).join(found, ["tile", "pred"])
+    pairs = pairs.withColumn("iou", F.col("n") / (F.col("gt_area") + F.col("area") - F.col("n"))).where("iou >= 0.5")
+    by_gt = Window.partitionBy("tile", "gt").orderBy(F.desc("area"), "pred")
+    by_pred = Window.partitionBy("tile", "pred").orderBy(F.desc("iou"), "gt")
+    pairs = pairs.withColumn("a", F.row_number().over(by_gt)).withColumn("b", F.row_number().over(by_pred)).where("a = 1 AND b = 1")
+    return truths, found.join(pairs.select("tile", "pred", "iou", "gt_area"), ["tile", "pred"], "left")
+
+
+def precision_curves(truths: DataFrame, detections: DataFrame, sizes: dict[str, tuple[int, int]] = SIZES, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """(size, iou_thr, ap, recall) of detections (score, area, iou, gt_area) against objects (gt_area).
+
+    In a size class other objects are ignored, and so are detections that match them, or that match
+    nothing and are of another size themselves. Detections are counted by score, threshold reached
+    and areas before anything is multiplied by classes and thresholds, so what is ordered is as
+    small as the set of scores. Without an object of the class both values are -1."""
+    spark = detections.sparkSession
+    classes = F.broadcast(spark.createDataFrame([(k, a, b) for k, (a, b) in sizes.items()], "size string, low long, high long"))
+    steps = F.broadcast(spark.createDataFrame([(t,) for t in thresholds], "iou_thr double"))
+    counted = detections.groupBy("score", "area", "gt_area", "iou").agg(F.count("*").alias("n"))
+    within = lambda c: F.col(c).between(F.col("low"), F.col("high"))
+    matched = F.coalesce(F.col("iou") >= F.col("iou_thr"), F.lit(False))
+    used = counted.crossJoin(classes).crossJoin(steps).withColumn("hit", matched).where((F.col("hit") & within("gt_area")) | (~F.col("hit") & within("area")))
+    scores = used.groupBy("size", "iou_thr", "score").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("hits"))
+    objects = truths.crossJoin(classes).where(within("gt_area")).groupBy("size").agg(F.count("*").alias("objects"))
+    so_far = Window.partitionBy("size", "iou_thr").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    onward = Window.partitionBy("size", "iou_thr").orderBy(F.desc("score")).rowsBetween(0, Window.unboundedFollowing)
+    curve = scores.join(F.broadcast(objects), "size").withColumns({"seen": F.sum("n").over(so_far), "tp": F.sum("hits").over(so_far)})
+    curve = curve.withColumns({"recall": F.col("tp") / F.col("objects"), "precision": F.col("tp") / F.col("seen")}).withColumn("best", F.max("precision").over(onward))
+    levels = F.broadcast(spark.range(101).select((F.col("id") / 100.0).alias("level")))
+    reached = curve.crossJoin(levels).where("recall >= level - 1e-12").groupBy("size", "iou_thr", "level").agg(F.max("best").alias("p"))
+    ap = reached.groupBy("size", "iou_thr").agg((F.sum("p") / 101).alias("ap"))
+    top = curve.groupBy("size", "iou_thr").agg(F.max("recall").alias("recall"))
+    out = classes.select("size").crossJoin(steps).join(objects, "size", "left").join(top, ["size", "iou_thr"], "left").join(ap, ["size", "iou_thr"], "left")
+    none = F.col("objects").isNull()
+    return out.select("size", "iou_thr", *[F.when(none, -1.0).otherwise(F.coalesce(c, F.lit(0.0))).alias(c) for c in ("ap", "recall")])
+
+
+def coco_summary(curves: DataFrame) -> DataFrame:
+    """The ten values of an instance evaluation in one row; -1 where nothing is defined."""
+    mean = lambda c, where: F.coalesce(F.avg(F.when(where & (F.col(c) > -1), F.col(c))), F.lit(-1.0))
+    size = lambda k: F.col("size") == k
+    named = {"AP_IoU_0.50:0.95": mean("ap", size("all")), "AP_IoU_0.50": mean("ap", size("all") & (F.col("iou_thr") == 0.5)), "AP_IoU_0.75": mean("ap", size("all") & (F.col("iou_thr") == 0.75))}
+    named |= {f"AP_IoU_{k}": mean("ap", size(k)) for k in "sml"} | {"AR_max": mean("recall", size("all"))} | {f"AR_max_{k}": mean("recall", size(k)) for k in "sml"}
+    return curves.agg(*[v.alias(k) for k, v in named.items()])
 
 
 def rle_runs(px: DataFrame, label: str, height: int) -> DataFrame:

@@ -206,23 +206,42 @@ def rle_runs(spark, sf_dir):
     return ev.rle_runs(pixels(spark, sf_dir), "gt", 16)
 
 
-@query("coco_ap", _OVERLAP + """, d AS (SELECT tile, pred, pred_area AS score FROM pa), st AS (SELECT 0.5 + 0.05 * k AS iou_thr FROM range(10) s(k)),
-th AS (SELECT CAST(round(iou_thr, 2) AS DOUBLE) AS iou_thr FROM st),
-cand AS (SELECT iou_thr, tile, gt, pred, iou, score FROM m JOIN d USING (tile, pred), th WHERE iou >= iou_thr),
-hit AS (SELECT iou_thr, tile, pred, row_number() OVER (PARTITION BY iou_thr, tile, gt ORDER BY score DESC, pred) AS a, row_number() OVER (PARTITION BY iou_thr, tile, pred ORDER BY iou DESC, gt) AS b FROM cand),
-al AS (SELECT th.iou_thr, d.score, CASE WHEN h.pred IS NULL THEN 0 ELSE 1 END AS hit FROM d CROSS JOIN th LEFT JOIN (SELECT * FROM hit WHERE a = 1 AND b = 1) h ON h.iou_thr = th.iou_thr AND h.tile = d.tile AND h.pred = d.pred),
-sc AS (SELECT iou_thr, score, count(*) AS n, sum(hit) AS hits FROM al GROUP BY ALL),
-cu AS (SELECT iou_thr, score, sum(n) OVER w AS seen, sum(hits) OVER w AS tp FROM sc WINDOW w AS (PARTITION BY iou_thr ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
-pr AS (SELECT *, tp / (SELECT count(*) FROM ga) AS recall, tp / seen AS precision FROM cu),
-be AS (SELECT *, max(precision) OVER (PARTITION BY iou_thr ORDER BY score DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS best FROM pr),
-re AS (SELECT iou_thr, k, max(best) AS p FROM be, range(101) l(k) WHERE recall >= k / 100 - 1e-12 GROUP BY ALL),
-ap AS (SELECT iou_thr, sum(p) / 101 AS ap FROM re GROUP BY iou_thr)
-SELECT iou_thr, round(coalesce(ap, 0) + 1e-9, 6) AS ap, round(max(recall) + 1e-9, 6) AS recall FROM pr LEFT JOIN ap USING (iou_thr) GROUP BY iou_thr, ap""")
+_CLASSES = {"all": (0, 65536), "s": (0, 12), "m": (12, 14), "l": (14, 65536)}
+_CURVES = _OVERLAP + """, st AS (SELECT CAST(round(0.5 + 0.05 * k, 2) AS DOUBLE) AS iou_thr FROM range(10) s(k)),
+sz AS (SELECT * FROM (VALUES """ + ", ".join(f"('{k}', {a}, {b})" for k, (a, b) in _CLASSES.items()) + """) v(size, low, high)),
+ca AS (SELECT iou_thr, size, low, high, m.tile, m.gt, m.pred, m.iou, pred_area AS score, gt_area FROM m, st, sz WHERE iou >= iou_thr),
+hi AS (SELECT *, row_number() OVER (PARTITION BY size, iou_thr, tile, gt ORDER BY score DESC, pred) AS a, row_number() OVER (PARTITION BY size, iou_thr, tile, pred ORDER BY iou DESC, gt) AS b FROM ca),
+al AS (SELECT size, iou_thr, pa.pred_area AS score, h.pred IS NOT NULL AS hit FROM pa CROSS JOIN st CROSS JOIN sz LEFT JOIN (SELECT * FROM hi WHERE a = 1 AND b = 1) h USING (size, iou_thr, tile, pred)
+  WHERE CASE WHEN h.pred IS NOT NULL THEN h.gt_area BETWEEN sz.low AND sz.high ELSE pa.pred_area BETWEEN sz.low AND sz.high END),
+sc AS (SELECT size, iou_thr, score, count(*) AS n, count(*) FILTER (hit) AS hits FROM al GROUP BY ALL),
+ob AS (SELECT size, count(*) AS objects FROM ga, sz WHERE gt_area BETWEEN low AND high GROUP BY size),
+cu AS (SELECT size, iou_thr, score, objects, sum(n) OVER w AS seen, sum(hits) OVER w AS tp FROM sc JOIN ob USING (size) WINDOW w AS (PARTITION BY size, iou_thr ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+pr AS (SELECT *, tp / objects AS recall, tp / seen AS precision FROM cu),
+be AS (SELECT *, max(precision) OVER (PARTITION BY size, iou_thr ORDER BY score DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS best FROM pr),
+re AS (SELECT size, iou_thr, k, max(best) AS p FROM be, range(101) l(k) WHERE recall >= k / 100 - 1e-12 GROUP BY ALL),
+ap AS (SELECT size, iou_thr, sum(p) / 101 AS ap FROM re GROUP BY ALL), tr AS (SELECT size, iou_thr, max(recall) AS recall FROM pr GROUP BY ALL),
+al2 AS (SELECT size, iou_thr, CASE WHEN objects IS NULL THEN -1.0 ELSE coalesce(ap, 0) END AS ap, CASE WHEN objects IS NULL THEN -1.0 ELSE coalesce(recall, 0) END AS recall
+  FROM sz CROSS JOIN st LEFT JOIN ob USING (size) LEFT JOIN tr USING (size, iou_thr) LEFT JOIN ap USING (size, iou_thr))"""
+
+
+def _curves(spark, sf_dir):
+    """Curves of all size classes; a detection's score is its area, as in the annotations."""
+    truths, found = ev.matched_detections(pixels(spark, sf_dir))
+    return ev.precision_curves(truths, found.withColumn("score", F.col("area")), _CLASSES)
+
+
+@query("coco_ap", _CURVES + " SELECT iou_thr, round(ap + 1e-9, 6) AS ap, round(recall + 1e-9, 6) AS recall FROM al2 WHERE size = 'all'")
 def coco_ap(spark, sf_dir):
-    """Average precision at ten thresholds; a detection's score is its area, as in the annotations."""
-    px = pixels(spark, sf_dir)
-    truths = mt.label_areas(px, "gt").count()
-    detections = mt.label_areas(px, "pred").withColumnRenamed("pred_area", "score")
-    pairs = mt.object_overlaps(px).select("tile", "gt", "pred", "iou")
-    found = ev.average_precision(pairs, truths, detections, [round(0.5 + 0.05 * k, 2) for k in range(10)])
-    return found.select("iou_thr", stable("ap").alias("ap"), stable("recall").alias("recall"))
+    """Average precision and recall at ten thresholds over all sizes."""
+    return _curves(spark, sf_dir).where("size = 'all'").select("iou_thr", stable("ap").alias("ap"), stable("recall").alias("recall"))
+
+
+_MEAN = lambda c, k, extra="": f"coalesce(round(avg({c}) FILTER (size = '{k}' AND {c} > -1{extra}) + 1e-9, 6), -1.0)"
+
+
+@query("coco_summary", _CURVES + f""" SELECT {_MEAN('ap', 'all')} AS "AP_IoU_0_50:0_95", {_MEAN('ap', 'all', ' AND iou_thr = 0.5')} AS "AP_IoU_0_50", {_MEAN('ap', 'all', ' AND iou_thr = 0.75')} AS "AP_IoU_0_75",
+{_MEAN('ap', 's')} AS "AP_IoU_s", {_MEAN('ap', 'm')} AS "AP_IoU_m", {_MEAN('ap', 'l')} AS "AP_IoU_l", {_MEAN('recall', 'all')} AS "AR_max", {_MEAN('recall', 's')} AS "AR_max_s", {_MEAN('recall', 'm')} AS "AR_max_m", {_MEAN('recall', 'l')} AS "AR_max_l" FROM al2""")
+def coco_summary(spark, sf_dir):
+    found = ev.coco_summary(_curves(spark, sf_dir))
+    named = {c: F.col(f"`{c}`") for c in found.columns}
+    return found.select(*[F.when(v < 0, -1.0).otherwise(stable(v)).alias(c.replace(".", "_")) for c, v in named.items()])

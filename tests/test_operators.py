@@ -89,13 +89,13 @@ def test_average_precision(spark):
     thresholds = [0.5, 0.75]
 
     def ap(gt, pred):
-        px = raster(spark, gt, pred)
-        detections = mt.label_areas(px, "pred").withColumnRenamed("pred_area", "score")
-        pairs = mt.object_overlaps(px).select("tile", "gt", "pred", "iou")
-        return {r.iou_thr: (r.ap, r.recall) for r in ev.average_precision(pairs, mt.label_areas(px, "gt").count(), detections, thresholds).collect()}
+        truths, found = ev.matched_detections(raster(spark, gt, pred))
+        curves = ev.precision_curves(truths, found.withColumn("score", F.col("area")), {"all": (0, 65536)}, tuple(thresholds))
+        return {r.iou_thr: (r.ap, r.recall) for r in curves.collect()}
 
     assert ap(GT, GT) == {0.5: (pytest.approx(1), 1), 0.75: (pytest.approx(1), 1)}
-    assert ap(GT, np.zeros((4, 4))) == {}
+    assert ap(GT, np.zeros((4, 4))) == {0.5: (0, 0), 0.75: (0, 0)}
+    assert ap(np.zeros((4, 4)), GT) == {0.5: (-1, -1), 0.75: (-1, -1)}
     half = ap([[1, 1, 1, 1]], [[1, 1, 0, 0]])
     assert half[0.5] == (pytest.approx(1), 1) and half[0.75] == (0, 0)
 
