@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,21 +47,22 @@ def scaled(df: DataFrame, columns: list[str], how: str) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, key: str, seeds: list[int], n: int) -> DataFrame:
-    """n rows per seed without replacement, by the order of an integer hash that any engine can compute.
+    """n rows per seed without replacement, in the order of a mixing hash of key and seed.
 
-    Each seed is a top-n that tasks cut before anything is shuffled; only n rows are numbered."""
-    parts = []
-    for s in seeds:
-        mixed = df.withColumn("seed", F.lit(s)).withColumn("mixed", (F.col(key) * 7919 + F.lit(s * 104729)) % 1000003)
-        parts.append(mixed.orderBy("mixed", key).limit(n))
-    place = F.row_number().over(Window.partitionBy("seed").orderBy("mixed", key))
-    return reduce(DataFrame.unionByName, parts).withColumn("place", place).drop("mixed")
+    One scan whatever the seeds: each row is repeated for them, and a window that is cut at a place
+    keeps n rows a seed in each task before anything is shuffled."""
+    again = df.select("*", F.explode(F.array(*map(F.lit, seeds))).alias("seed"))
+    mixed = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("seed").cast("string")))
+    place = F.row_number().over(Window.partitionBy("seed").orderBy(mixed, key))
+    return again.withColumn("place", place).where(F.col("place") <= n)
 
 
 def group_folds(df: DataFrame, group: str, folds: int, repeats: int) -> DataFrame:
-    """Folds that keep groups whole, for each repeat."""
+    """Folds that keep groups whole, for each repeat, by a mixing hash: no shuffle, sizes follow chance.
+    (`relational.balanced_group_folds` deals by size.)"""
     again = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
-    return df.select("*", again).withColumn("fold", (F.col(group) * 7919 + F.col("repeat") * 104729) % 1000003 % folds)
+    mixed = F.md5(F.concat_ws(":", F.col(group).cast("string"), F.col("repeat").cast("string")))
+    return df.select("*", again).withColumn("fold", F.conv(F.substring(mixed, 1, 8), 16, 10).cast("long") % folds)
 
 
 def nearest(points: DataFrame, cells: DataFrame, size: int) -> DataFrame:
@@ -72,10 +71,17 @@ def nearest(points: DataFrame, cells: DataFrame, size: int) -> DataFrame:
     return points.withColumns(keys).join(cells, ["cx", "cy"], "left")
 
 
-def knn_distances(samples: DataFrame, others: DataFrame, id_: str, other_id: str, vector: str, k: int, by: list[str]) -> DataFrame:
-    """Squared distance to the k-th nearest other vector within each group; itself is not counted."""
-    pairs = samples.alias("a").join(others.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by])
+def knn_distances(samples: DataFrame, others: DataFrame, id_: str, other_id: str, vector: str, k: int, by: list[str], blocks: int = 16) -> DataFrame:
+    """Squared distance to the k-th nearest other vector within each group; itself is not counted.
+
+    Samples, a stated query set, are dealt into blocks, and the others meet every block, so no key
+    holds all pairs of a group. Each task keeps the k smallest distances of a sample."""
+    a = samples.withColumn("block", F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int")).alias("a")
+    b = others.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).alias("b")
+    pairs = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*by, "block"]])
     d = F.aggregate(F.zip_with(f"a.{vector}", f"b.{vector}", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     pairs = pairs.where(F.col(f"a.{id_}") != F.col(f"b.{other_id}")).select(*[F.col(f"a.{c}").alias(c) for c in by], F.col(f"a.{id_}").alias(id_), d.alias("d2"))
-    nearest_ = F.get(F.sort_array(F.collect_list("d2")), k - 1)
-    return pairs.groupBy(*by, id_).agg(nearest_.alias("d2"))
+    if k == 1:
+        return pairs.groupBy(*by, id_).agg(F.min("d2").alias("d2"))
+    place = F.row_number().over(Window.partitionBy(*by, id_).orderBy("d2"))
+    return pairs.withColumn("place", place).where(F.col("place") == k).drop("place")

@@ -157,3 +157,108 @@ def annotations(px: DataFrame, label: str, pixels: int) -> DataFrame:
     own = px.where(F.col(label).isNotNull()).groupBy("tile", F.col(label).alias("label"))
     out = own.agg(F.count("*").alias("area"), F.min("c").alias("x"), F.min("r").alias("y"), (F.max("c") - F.min("c") + 1).alias("w"), (F.max("r") - F.min("r") + 1).alias("h"))
     return out.withColumn("score", F.col("area") / pixels)
+
+
+RASTER = ("f1", "precision", "recall", "f1_w", "f1_b", "rand", "v_measure", "ssmi")
+OBJECT = ("iou", "io_ref", "io_pred", "iou_boundary", "mae_gt", "mae_pred", "bde", "hausdorff_dist", "pos_sim", "centroid_dist")
+
+
+class Evaluator:
+    """Metrics of labelled tiles (tile, r, c, gt, pred) by their public names.
+
+    The perceptual image distance `lpips` needs the weights of a trained network and is refused."""
+
+    def __init__(self, px: DataFrame, metrics: tuple[str, ...] = RASTER + OBJECT, last: int = 15):
+        if unknown := [m for m in metrics if m not in RASTER + OBJECT]:
+            raise ValueError(f"unknown metrics {', '.join(unknown)}; known are {', '.join(RASTER + OBJECT)}")
+        self.px, self.metrics, self.last = px, tuple(metrics), last
+
+    def rasters(self) -> DataFrame:
+        """One row per tile with the raster metrics that are asked for."""
+        inside = rastered(self.px)
+        counts = balanced_f1(confusion(inside, F.col("gb"), F.col("pb"), ["tile"])).fillna(0.0, ["f1", "precision", "recall"])
+        out = counts.select("tile", *[c for c in ("f1", "precision", "recall", "f1_w") if c in self.metrics])
+        for name, make in (("f1_b", tolerant_f1), ("rand", adjusted_rand), ("v_measure", v_measure)):
+            if name in self.metrics:
+                out = out.join(make(inside), "tile", "left")
+        if "ssmi" in self.metrics:
+            out = out.join(boundary_ssim(inside, self.last), "tile", "left")
+        return out
+
+    def objects(self) -> DataFrame:
+        """One row per true object and best match: tile, gt, pred and the object metrics that are asked for."""
+        from fieldloom.operators import matching as mt
+
+        best = mt.with_centroids(mt.best_matches(mt.object_overlaps(self.px, touch=True)), self.px)
+        if "iou_boundary" in self.metrics:
+            best = mt.boundary_iou(self.px, best, last=self.last)
+        if set(self.metrics) & set(OBJECT[4:8]):
+            best = best.join(outline_metrics(self.px, best.select("tile", "gt", "pred")), ["tile", "gt", "pred"], "left")
+        return best.select("tile", "gt", "pred", *[m for m in OBJECT if m in self.metrics])
+
+    def by_tile(self) -> DataFrame:
+        """Raster metrics with the means of the object metrics by tile."""
+        objects = self.objects()
+        means = objects.groupBy("tile").agg(*[F.avg(c).alias(c) for c in objects.columns[3:]])
+        return self.rasters().join(means, "tile", "left")
+
+    def aggregate(self) -> DataFrame:
+        """(metric, value): mean of each raster metric over tiles and of each object metric over objects; null is left out."""
+        parts = []
+        for df, skip in ((self.rasters(), 1), (self.objects(), 3)):
+            if df.columns[skip:]:
+                means = df.agg(*[F.avg(c).alias(c) for c in df.columns[skip:]])
+                parts.append(means.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in means.columns])).alias("x")).select("x.*"))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+
+def boundary_ssim(inside: DataFrame, last: int) -> DataFrame:
+    """(tile, ssmi): structural similarity of the two boundary images, zero outside the counted pixels."""
+    import numpy as np
+    import pandas as pd
+
+    from fieldloom.operators import kernels as k
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        gt, pred = np.zeros((2, last + 1, last + 1))
+        gt[frame.r, frame.c], pred[frame.r, frame.c] = frame.gb, frame.pb
+        return pd.DataFrame({"tile": [frame.tile.iloc[0]], "ssmi": [k.ssim(gt, pred, span=1.0)]})
+
+    return inside.select("tile", "r", "c", F.col("gb").cast("double").alias("gb"), F.col("pb").cast("double").alias("pb")).groupBy("tile").applyInPandas(run, "tile bigint, ssmi double")
+
+
+def outline_metrics(px: DataFrame, pairs: DataFrame, step: float = 2.5) -> DataFrame:
+    """(tile, gt, pred, mae_gt, mae_pred, bde, hausdorff_dist) of matched objects: distances between points
+    along one outline and the other outline, by cogrouping the pixels and the pairs of a tile."""
+    import numpy as np
+    import pandas as pd
+
+    from fieldloom.operators import kernels as k
+    from fieldloom.operators import segmentation as sg
+
+    columns = ["tile", "gt", "pred", "mae_gt", "mae_pred", "bde", "hausdorff_dist"]
+
+    def run(frame: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(frame) and len(wanted):
+            gt, pred = (np.nan_to_num(k.grid(frame, c), nan=-1) for c in ("gt", "pred"))
+            for a, b in zip(wanted["gt"], wanted["pred"]):
+                there, back, far = sg.outline_distances(gt == a, pred == b, step)
+                rows.append((wanted.tile.iloc[0], a, b, there, back, (there + back) / 2, far))
+        return pd.DataFrame(rows, columns=columns)
+
+    pairs = pairs.toDF("tile", "gt", "pred")  # under names of its own, as both sides come from the pixels
+    both = px.select("tile", "r", "c", "gt", "pred").groupBy("tile").cogroup(pairs.groupBy("tile"))
+    return both.applyInPandas(run, "tile bigint, gt bigint, pred bigint, mae_gt double, mae_pred double, bde double, hausdorff_dist double")
+
+
+def evaluation_tables(px: DataFrame, last: int = 15) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three levels of an evaluation: pixel scores over all tiles, one row per matched object, and the
+    instance summary (scores of detections are their areas)."""
+    field, found = (F.coalesce(F.col(c) > 0, F.lit(False)) for c in ("gt", "pred"))
+    pixel = confusion(px.withColumns({"__g": field, "__p": found}), F.col("__g"), F.col("__p"), [])
+    truths, detections = matched_detections(px)
+    return pixel, Evaluator(px, OBJECT, last).objects(), coco_summary(precision_curves(truths, detections.withColumn("score", F.col("area"))))

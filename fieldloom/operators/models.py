@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
-    """Add a weight that gives every class the same total."""
-    counts = df.groupBy(label).agg(F.count("*").alias("__n")).withColumnRenamed(label, "__label")
-    total = df.count()
-    classes = counts.count()
-    return df.join(F.broadcast(counts), F.col(label) == F.col("__label")).withColumn("weight", F.lit(float(total)) / (F.lit(classes) * F.col("__n"))).drop("__n", "__label")
+    """Add a weight that gives every class the same total, from one aggregation of the classes."""
+    counts = df.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n"))
+    weights = counts.groupBy().agg(F.sum("__n").alias("all"), F.collect_list(F.struct("__label", "__n")).alias("classes"))  # a row for each class
+    weights = weights.select(F.explode("classes").alias("k"), (F.col("all") / F.size("classes")).alias("share")).select("k.__label", (F.col("share") / F.col("k.__n")).alias("weight"))
+    return df.join(F.broadcast(weights), F.col(label) == F.col("__label")).drop("__label")
 
 
 def train_forest(df: DataFrame, features: str, label: str, trees: int = 100, subset: str = "0.05", seed: int = 42):

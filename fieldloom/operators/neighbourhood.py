@@ -45,11 +45,12 @@ def padded_edge(px: DataFrame, mask: Column, last: int, name: str) -> DataFrame:
     return px.withColumn(name, F.when(F.col("r").isin(0, last) | F.col("c").isin(0, last), 1).otherwise(mask.cast("int")))
 
 
-def moving_std(px: DataFrame, value: str, size: int, last: int, name: str) -> DataFrame:
-    """Standard deviation over size x size windows with reflected edges (the edge sample not repeated).
+def moving_std(px: DataFrame, values: list[str], size: int, last: int, names: list[str]) -> DataFrame:
+    """Standard deviations over size x size windows with reflected edges (the edge sample not repeated).
 
-    Reflected rows and columns are added, sums run over rows and then columns, and the additions
-    are dropped. For whole tiles only."""
+    Reflected rows and columns are added, counts and sums run over rows and then columns of a grid
+    that every tile fills, and the additions are dropped. Places that a tile lacks do not count, so
+    a partial tile has the deviation of the pixels that are there."""
     k = size // 2
 
     def reflected(df: DataFrame, at: str) -> DataFrame:
@@ -57,13 +58,18 @@ def moving_std(px: DataFrame, value: str, size: int, last: int, name: str) -> Da
         places = [F.when((here >= 1) & (here <= k), -here), here, F.when((here < last) & (here >= last - k), 2 * last - here)]
         return df.withColumn(at, F.explode(F.array_compact(F.array(*places))))
 
-    wide = reflected(reflected(px.select("tile", "r", "c", F.col(value).alias("x")), "r"), "c").withColumn("xx", F.col("x") * F.col("x"))
+    sums = [f"{kind}{n}" for n in range(len(values)) for kind in ("x", "xx")] + ["n"]
+    wide = reflected(reflected(px.select("tile", "r", "c", *[F.col(v).cast("double").alias(f"x{n}") for n, v in enumerate(values)]), "r"), "c")
+    wide = wide.withColumns({f"xx{n}": F.col(f"x{n}") * F.col(f"x{n}") for n in range(len(values))}).withColumn("n", F.lit(1.0))
+    side = F.sequence(F.lit(-k).cast("long"), F.lit(last + k).cast("long"))
+    empty = px.select("tile").distinct().withColumn("r", F.explode(side)).withColumn("c", F.explode(side))
+    wide = wide.unionByName(empty.select("*", *[F.lit(0.0).alias(c) for c in sums])).groupBy("tile", "r", "c").agg(*[F.sum(c).alias(c) for c in sums]).withColumn("here", F.col("n") > 0)
+    wide = wide.repartition("tile")
     for w in (down_rows(), along_columns()):
-        wide = wide.withColumns({c: F.sum(c).over(w.rowsBetween(-k, k)) for c in ("x", "xx")})
-    n = float(size * size)
-    inside = wide.where(F.col("r").between(0, last) & F.col("c").between(0, last))
-    variance = F.greatest(F.col("xx") / n - F.pow(F.col("x") / n, 2), F.lit(0.0))
-    return inside.select("tile", "r", "c", F.sqrt(variance).alias(name))
+        wide = wide.withColumns({c: F.sum(c).over(w.rowsBetween(-k, k)) for c in sums})
+    inside = wide.where(F.col("here") & F.col("r").between(0, last) & F.col("c").between(0, last))
+    spread = lambda n: F.sqrt(F.greatest(F.col(f"xx{n}") / F.col("n") - F.pow(F.col(f"x{n}") / F.col("n"), 2), F.lit(0.0)))
+    return inside.select("tile", "r", "c", *[spread(n).alias(name) for n, name in enumerate(names)])
 
 
 def adjacent_pairs(px: DataFrame, label: str) -> DataFrame:

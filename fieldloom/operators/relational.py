@@ -133,7 +133,7 @@ def train_test_rows(df: DataFrame, folds: DataFrame, group: str, n: int) -> Data
     return out.withColumn("is_test", F.col("own") == F.col("fold")).drop("own")
 
 
-def mean_loss(df: DataFrame, loss: str) -> Column:
+def mean_loss(loss: str) -> Column:
     """Mean in which a null or undefined loss counts as zero."""
     return F.avg(F.coalesce(F.nanvl(F.col(loss).cast("double"), F.lit(None).cast("double")), F.lit(0.0)))
 

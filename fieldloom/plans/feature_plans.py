@@ -69,17 +69,14 @@ def pad_edge(spark, sf_dir):
 
 def _moving(size):
     k = size // 2
-    whole = "SELECT tile FROM px GROUP BY tile HAVING count(*) = 256"
     side = lambda x: f"CASE WHEN {x} < 0 THEN -({x}) WHEN {x} > 15 THEN 30 - ({x}) ELSE {x} END"
-    return f"""WITH {PX}, w AS (SELECT * FROM px WHERE tile IN ({whole})), o AS (SELECT a, b FROM range({-k}, {k + 1}) x(a), range({-k}, {k + 1}) y(b)),
+    return f"""WITH {PX}, w AS (SELECT * FROM px), o AS (SELECT a, b FROM range({-k}, {k + 1}) x(a), range({-k}, {k + 1}) y(b)),
 n AS (SELECT w.tile, w.r, w.c, {side('w.r + a')} AS rr, {side('w.c + b')} AS cc FROM w, o)
 SELECT n.tile, n.r, n.c, round(stddev_pop(v.value) + 1e-9, 4) AS std FROM n JOIN w v ON v.tile = n.tile AND v.r = n.rr AND v.c = n.cc GROUP BY ALL"""
 
 
 def _moving_std(spark, sf_dir, size):
-    px = pixels(spark, sf_dir)
-    whole = px.groupBy("tile").count().where("count = 256")
-    return nb.moving_std(px.join(whole, "tile", "left_semi"), "value", size, 15, "std").select("tile", "r", "c", stable("std", 4).alias("std"))
+    return nb.moving_std(pixels(spark, sf_dir), ["value"], size, 15, ["std"]).select("tile", "r", "c", stable("std", 4).alias("std"))
 
 
 @query("moving_std_3", _moving(3))

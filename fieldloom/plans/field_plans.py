@@ -132,7 +132,7 @@ def percentile_thresholds(spark, sf_dir):
     return e.agg(stable(F.percentile("value", 0.1)).alias("low"), stable(F.percentile("value", 0.9)).alias("high"))
 
 
-@query("seeded_sample", """WITH s AS (SELECT unnest([1, 2, 3]) AS seed), m AS (SELECT vec_id, seed, row_number() OVER (PARTITION BY seed ORDER BY (vec_id * 7919 + seed * 104729) % 1000003, vec_id) AS place FROM embeddings, s)
+@query("seeded_sample", """WITH s AS (SELECT unnest([1, 2, 3]) AS seed), m AS (SELECT vec_id, seed, row_number() OVER (PARTITION BY seed ORDER BY md5(vec_id || ':' || seed), vec_id) AS place FROM embeddings, s)
 SELECT vec_id, seed, place FROM m WHERE place <= 40""")
 def seeded_sample(spark, sf_dir):
     return cu.seeded_sample(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", [1, 2, 3], 40)
@@ -143,7 +143,7 @@ def topk_lowest(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "value").orderBy("value", "event_id").limit(250)
 
 
-@query("set_overlap", f"""WITH s AS (SELECT unnest([1, 2, 3]) AS seed), m AS (SELECT vec_id, seed, row_number() OVER (PARTITION BY seed ORDER BY (vec_id * 7919 + seed * 104729) % 1000003, vec_id) AS place FROM embeddings, s),
+@query("set_overlap", f"""WITH s AS (SELECT unnest([1, 2, 3]) AS seed), m AS (SELECT vec_id, seed, row_number() OVER (PARTITION BY seed ORDER BY md5(vec_id || ':' || seed), vec_id) AS place FROM embeddings, s),
 k AS (SELECT vec_id, seed FROM m WHERE place <= 300) SELECT a.seed AS a, b.seed AS b, count(*) AS shared FROM k a JOIN k b ON a.vec_id = b.vec_id AND a.seed < b.seed GROUP BY 1, 2""")
 def set_overlap(spark, sf_dir):
     """Sizes of the intersections of samples, by a join on the member and not over pairs of sets."""
@@ -168,6 +168,16 @@ def knn1(spark, sf_dir):
     return _near(spark, sf_dir).select("id", stable(F.sqrt("d2")).alias("distance"))
 
 
+@query("knn2", f"""WITH {CUBE}, s AS (SELECT id, label, nir FROM cube WHERE id % 50 = 0),
+d AS (SELECT a.id, b.id AS other, list_sum(list_transform(range(1, 7), lambda k: (a.nir[k] - b.nir[k]) * (a.nir[k] - b.nir[k]))) AS d2 FROM s a JOIN cube b ON a.label = b.label AND a.id <> b.id)
+SELECT id, round(sqrt(d2) + 1e-9, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d2) = 2""")
+def knn2(spark, sf_dir):
+    """Second nearest neighbour within the class, for the same query set."""
+    c = cube(spark, sf_dir).select("id", "label", "nir")
+    found = cu.knn_distances(c.where("id % 50 = 0"), c.withColumnRenamed("id", "other"), "id", "other", "nir", 2, ["label"])
+    return found.select("id", stable(F.sqrt("d2")).alias("distance"))
+
+
 @query("kl_divergence", f"""WITH {CUBE}, x AS (SELECT id, nir FROM cube WHERE id % 50 = 0), y AS (SELECT id, nir FROM cube WHERE id % 50 <> 0),
 dr AS (SELECT a.id, list_sum(list_transform(range(1, 7), lambda k: (a.nir[k] - b.nir[k]) * (a.nir[k] - b.nir[k]))) AS d FROM x a JOIN x b ON a.id <> b.id),
 ds AS (SELECT a.id, list_sum(list_transform(range(1, 7), lambda k: (a.nir[k] - b.nir[k]) * (a.nir[k] - b.nir[k]))) AS d FROM x a, y b),
@@ -175,16 +185,16 @@ r AS (SELECT id, sqrt(min(d)) AS r FROM dr GROUP BY id), s AS (SELECT id, sqrt(m
 SELECT round(-sum(ln(r / s)) * 6 / count(*) + ln((SELECT count(*) FROM y) / (count(*) - 1)) + 1e-9, 6) AS kl FROM r JOIN s USING (id)""")
 def kl_divergence(spark, sf_dir):
     """Nearest-neighbour estimate of the divergence of a sample from the rest (6 dimensions)."""
-    c = cube(spark, sf_dir).select("id", "nir").withColumn("all", F.lit(1))
+    c = cube(spark, sf_dir).select("id", "nir")
     x, y = c.where("id % 50 = 0"), c.where("id % 50 <> 0").withColumnRenamed("id", "other")
-    near = lambda o: cu.knn_distances(x, o, "id", "other", "nir", 1, ["all"])
+    near = lambda o: cu.knn_distances(x, o, "id", "other", "nir", 1, [])
     both = near(x.withColumnRenamed("id", "other")).withColumnRenamed("d2", "r").join(near(y).withColumnRenamed("d2", "s"), "id")
     m = y.count()
     terms = both.agg(F.sum(F.ln(F.sqrt("r") / F.sqrt("s"))).alias("sum"), F.count("*").alias("n"))
     return terms.select(stable(-F.col("sum") * 6 / F.col("n") + F.ln(F.lit(m) / (F.col("n") - 1))).alias("kl"))
 
 
-@query("group_kfold", "SELECT vec_id, r AS repeat, (label * 7919 + r * 104729) % 1000003 % 5 AS fold FROM embeddings, (SELECT unnest([0, 1, 2]) AS r)")
+@query("group_kfold", "SELECT vec_id, r AS repeat, CAST(CAST('0x' || substr(md5(label || ':' || r), 1, 8) AS BIGINT) % 5 AS INT) AS fold FROM embeddings, (SELECT unnest([0, 1, 2]) AS r)")
 def group_kfold(spark, sf_dir):
     return cu.group_folds(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", 5, 3).drop("label").withColumn("fold", F.col("fold").cast("int"))
 

@@ -121,7 +121,7 @@ l AS (SELECT -tp / nullif(tp + 0.5 * (fp + fn), 0) AS loss FROM n WHERE tile % 7
 SELECT round(avg(coalesce(loss, 0)) + 1e-9, 6) AS loss, count(*) AS tiles FROM l""")
 def mean_tile_loss(spark, sf_dir):
     scores = _bound_counts(spark, sf_dir).select(F.when(F.col("tile") % 7 != 0, -F.col("f1")).alias("loss"))
-    return scores.agg(stable(rel.mean_loss(scores, "loss")).alias("loss"), F.count("*").alias("tiles"))
+    return scores.agg(stable(rel.mean_loss("loss")).alias("loss"), F.count("*").alias("tiles"))
 
 
 @query("cv_mean_scores", "SELECT event_id % 6 AS param, round(avg(value) + 1e-9, 6) AS mean_score, count(*) AS folds, rank() OVER (ORDER BY avg(value) DESC) AS place FROM events GROUP BY 1")

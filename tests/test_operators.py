@@ -59,7 +59,7 @@ def test_moving_std_reflects_edges(spark, size):
     value = np.random.default_rng(0).random((6, 6)) * 9
     k = size // 2
     padded = np.pad(value, k, mode="reflect")
-    got = {(r.r, r.c): r["std"] for r in nb.moving_std(raster(spark, [[1] * 6] * 6, value=value), "value", size, 5, "std").collect()}
+    got = {(r.r, r.c): r["std"] for r in nb.moving_std(raster(spark, [[1] * 6] * 6, value=value), ["value"], size, 5, ["std"]).collect()}
     for (r, c), s in got.items():
         assert s == pytest.approx(padded[r : r + size, c : c + size].std(), abs=1e-6)
     assert len(got) == 36
