@@ -62,16 +62,16 @@ def scratch(spark: SparkSession):
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it again.
 
     This cuts lineage, so that a lost executor costs a read and not the work before it, and
     gives the optimiser real sizes. The returned DataFrame reads the files lazily: they go with
-    the innermost `scratch`, or stay until the owner of the folder clears it.
+    the innermost `scratch` unless they are to be kept, or stay until the owner of the folder clears it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fieldloom/{name}-{uuid.uuid4().hex}"
-    if _written:
+    if _written and not keep:
         _written[-1].append(path)
     with text_batches(spark):
         df.write.parquet(path)

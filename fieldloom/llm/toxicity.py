@@ -3,7 +3,7 @@
 A word is the mean of hashed embeddings of itself and of its first and last letters, so words
 that were never seen share what their stems say. Filters of several widths slide over the
 words of the whole text, each keeps its maximum, and a linear layer gives a logit. The network
-is trained by Adam on the driver, on a bounded sample of the labelled rows (`MAX_LABELLED`);
+is trained by Adam in one task, on a bounded sample of the labelled rows (`MAX_LABELLED`);
 scoring is one pass inside the scan with the parameters (about 4 MB) broadcast.
 
 Thresholds are calibrated by language on rows kept out of training. The language is guessed
@@ -13,15 +13,18 @@ where the decision changes.
 
 Defined results: a null text counts as empty; a text without words is scored from the empty
 window; labels that are null are not learned from; without any labelled row, or with one class
-only, every score is the base rate; repeated rows are scored each; an empty table gives an
+only, every score is the base rate; repeated rows are scored each, and of repeated
+ids with a label the smallest text is learned from; very long texts are convolved whole, in parts that
+overlap; an empty table gives an
 empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._common import stored
+from ._common import stored, text_batches
 
 #: Most labelled rows that are learned from: those with the smallest hashes of their ids.
 MAX_LABELLED = 4000
@@ -181,7 +184,33 @@ def _adam(value, grad, state, step, rate):
     value -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(value.dtype)
 
 
-def train(texts: list[str | None], labels: np.ndarray, keep_out: np.ndarray, seed: int = 0, epochs: int = 5, batch: int = 32, rate: float = 0.01, least_steps: int = 300) -> TextCNN:
+def gradients(model: TextCNN, rows: list[np.ndarray], words: Words, labels: np.ndarray, weight: np.ndarray):
+    """Of the weighted mean log loss of some texts: by the parameters (dense, filters, biases), by the
+    bias of the output, and by the rows of the embedding that the maximal windows touch."""
+    buckets = words.arrays()[0]
+    best, windows = model.pool(rows, words, where=True)
+    hidden = np.maximum(best, 0)
+    z = hidden @ model.dense + model.bias
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    error = ((p - labels) * weight / len(rows)).astype(np.float32)
+    back = error[:, None] * model.dense * (best > 0)
+    d_filters, d_biases, hit, d_hit = [], [], [], []
+    for n, (w, f) in enumerate(zip(WIDTHS, model.filters)):
+        cells = windows[:, n * FILTERS : (n + 1) * FILTERS, :w]
+        g = back[:, n * FILTERS : (n + 1) * FILTERS]
+        vectors = model.embedding[buckets[cells]].mean(axis=3)  # text, filter, place, size
+        d_filters.append(np.einsum("tfks,tf->ksf", vectors, g))
+        d_biases.append(g.sum(axis=0))
+        hit.append(buckets[cells].reshape(-1, 5))
+        d_hit.append((np.einsum("ksf,tf->tfks", f, g) / 5).reshape(-1, SIZE))
+    touched, place = np.unique(np.concatenate(hit).reshape(-1), return_inverse=True)
+    d_embedding = np.zeros((len(touched), SIZE), np.float32)
+    np.add.at(d_embedding, place, np.repeat(np.concatenate(d_hit), 5, axis=0))
+    d_embedding[touched == 0] = 0
+    return [hidden.T @ error, *d_filters, *d_biases], error.sum(), touched, d_embedding
+
+
+def train(texts: Iterable[str | None], labels: np.ndarray, keep_out: np.ndarray, seed: int = 0, epochs: int = 5, batch: int = 32, rate: float = 0.01, least_steps: int = 300) -> TextCNN:
     """Train on the rows that are not kept out, then calibrate the thresholds on those that are."""
     model, words, rng = TextCNN.fresh(seed), Words(), np.random.default_rng(seed)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
@@ -190,54 +219,29 @@ def train(texts: list[str | None], labels: np.ndarray, keep_out: np.ndarray, see
         model.dense[:] = 0
         return model
     rows = [words(t) for t in texts]
-    buckets = words.arrays()[0]
     learn = np.flatnonzero(~keep_out)
     parameters = [model.dense, *model.filters, *model.biases]
     states = [(np.zeros_like(p), np.zeros_like(p)) for p in parameters]
     bias, bias_state = np.array([model.bias]), (np.zeros(1), np.zeros(1))
     m, v = np.zeros_like(model.embedding), np.zeros_like(model.embedding)
     step, steps = 0, max(least_steps, epochs * len(learn) // batch)
-    while step < steps:
+    while step < steps and len(learn):
         order = rng.permutation(learn)
         for at in range(0, len(order), batch):
             step += 1
             own = order[at : at + batch]
-            best, windows = model.pool([rows[k] for k in own], words, where=True)
-            hidden = np.maximum(best, 0)
-            z = hidden @ model.dense + bias[0]
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             weight = np.where(labels[own] > 0, min(8.0, (1 - share) / share), 1.0)
-            error = ((p - labels[own]) * weight / len(own)).astype(np.float32)
-            back = error[:, None] * model.dense * (best > 0)
-            grads = [hidden.T @ error]
-            d_filters, d_biases = [], []
-            hit, d_hit = [], []
-            for n, (w, f) in enumerate(zip(WIDTHS, model.filters)):
-                cells = windows[:, n * FILTERS : (n + 1) * FILTERS, :w]
-                g = back[:, n * FILTERS : (n + 1) * FILTERS]
-                vectors = model.embedding[buckets[cells]].mean(axis=3)  # text, filter, place, size
-                d_filters.append(np.einsum("tfks,tf->ksf", vectors, g))
-                d_biases.append(g.sum(axis=0))
-                d_vector = np.einsum("ksf,tf->tfks", f, g) / 5
-                hit.append(buckets[cells].reshape(-1, 5))
-                d_hit.append(d_vector.reshape(-1, SIZE))
-            ids = np.concatenate(hit)
-            d = np.repeat(np.concatenate(d_hit), 5, axis=0)
-            touched, place = np.unique(ids.reshape(-1), return_inverse=True)
-            g_embedding = np.zeros((len(touched), SIZE), np.float32)
-            np.add.at(g_embedding, place, d)
-            g_embedding[touched == 0] = 0
+            grads, d_bias, touched, d_embedding = gradients(model, [rows[k] for k in own], words, labels[own], weight)
             lr = rate * (1 - step / (steps + 1))
-            for value, grad, state in zip(parameters, [*grads, *d_filters, *d_biases], states):
+            for value, grad, state in zip(parameters, grads, states):
                 _adam(value, grad, state, step, lr)
-            _adam(bias, np.array([error.sum()]), bias_state, step, lr)
-            m_t, v_t = m[touched], v[touched]
-            part = model.embedding[touched]
-            _adam(part, g_embedding, (m_t, v_t), step, lr)
+            _adam(bias, np.array([d_bias]), bias_state, step, lr)
+            model.bias = float(bias[0])
+            m_t, v_t, part = m[touched], v[touched], model.embedding[touched]
+            _adam(part, d_embedding, (m_t, v_t), step, lr)
             m[touched], v[touched], model.embedding[touched] = m_t, v_t, part
             if step >= steps:
                 break
-    model.bias = float(bias[0])
     held = np.flatnonzero(keep_out)
     if len(held):
         model.thresholds = calibrate(model.logits([rows[k] for k in held], words), labels[held], languages([rows[k] for k in held], words))
@@ -278,10 +282,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y IS NOT NULL AND doc_id IS NOT NULL")
     marked = marked.where(_remainder("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("body")).join(F.broadcast(marked), "doc_id")  # at most `most` rows
-    rows = rows.dropDuplicates(["doc_id"]).select("body", (F.col("y") > 0).cast("int").alias("y"), _remainder("doc_id", 25).alias("fold"), "doc_id").orderBy("doc_id").collect()
-    y = np.array([r.y for r in rows], int)
-    return train([r.body for r in rows], y, np.array([r.fold % 5 == 1 for r in rows], bool))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("body")).join(F.broadcast(marked), "doc_id")  # at most `most` rows
+    rows = rows.groupBy("doc_id", "y").agg(F.min("body").alias("body")).withColumn("fold", _remainder("doc_id", 25) % 5)
+    # one task gets at most `most` rows and sends the parameters
+    rows = rows.select("doc_id", (F.col("y") > 0).cast("int").alias("y"), "fold", "body").repartition(1).sortWithinPartitions("doc_id")
+    with text_batches(docs.sparkSession):
+        made = rows.mapInArrow(_train_task, "model binary").collect()
+    return pickle.loads(made[0].model) if made else train([], np.zeros(0, int), np.zeros(0, bool))
+
+
+def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts, labels, folds = [], [], []
+    for batch in batches:
+        texts += batch.column(3).to_pylist()
+        labels += batch.column(1).to_pylist()
+        folds += batch.column(2).to_pylist()
+    model = train(texts, np.array(labels, int), np.array(folds) == 1)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
 def _score(model, schema: pa.Schema):

@@ -66,3 +66,70 @@ def test_long_text_in_parts_equals_whole(monkeypatch):
     whole = model.logits(rows, words)
     monkeypatch.setattr(T, "CHUNK", 7)
     assert np.allclose(model.logits(rows, words), whole, atol=1e-5)
+
+
+def slow_logit(model, words):
+    """One text word by word: hashed parts, windows, maxima, linear layer."""
+    pad = [np.zeros(T.SIZE)] * (max(T.WIDTHS) - 1)
+    vectors = [np.mean([model.embedding[zlib.crc32(p.encode()) % (T.BUCKETS - 1) + 1] for p in (w, *(f"<{k}{w[:k]}" for k in (3, 4, 5)), ">" + w[-4:])], axis=0) for w in words]
+    total = model.bias
+    for n, width in enumerate(T.WIDTHS):
+        for f in range(T.FILTERS):
+            line = pad[:1] + vectors + pad
+            values = [model.biases[n][f] + sum(line[at + k] @ model.filters[n][k][:, f] for k in range(width)) for at in range(len(vectors) + 1)]
+            total += max(0.0, max(values)) * model.dense[n * T.FILTERS + f]
+    return total
+
+
+def test_logits_equal_a_slow_version():
+    model, words = T.TextCNN.fresh(3), T.Words()
+    model.biases = [np.full(T.FILTERS, 0.1, np.float32) for _ in T.WIDTHS]
+    texts = ["the vile dog", "one", "a b c d e f g a b", ""]
+    got = model.logits([words(t) for t in texts], words)
+    assert np.allclose(got, [slow_logit(model, t.split()) for t in texts], atol=1e-4)
+
+
+def test_gradients_equal_differences():
+    model, words = T.TextCNN.fresh(5), T.Words()
+    model.biases = [np.full(T.FILTERS, 0.05, np.float32) for _ in T.WIDTHS]
+    rows = [words(t) for t in ("the vile dog of", "a quiet house and it", "grim")]
+    labels, weight = np.array([1, 0, 1]), np.array([2.0, 1.0, 2.0])
+
+    def loss():
+        z = model.logits(rows, words).astype(float)
+        return float((weight * (np.log1p(np.exp(z)) - labels * z)).mean())
+
+    grads, d_bias, touched, d_embedding = T.gradients(model, rows, words, labels, weight)
+    parameters = [model.dense, *model.filters, *model.biases]
+    rng = np.random.default_rng(0)
+
+    def slope(array, place, h=2e-3):
+        before = array[place]
+        array[place] = before + h
+        up = loss()
+        array[place] = before - h
+        down = loss()
+        array[place] = before
+        return (up - down) / (2 * h)
+
+    for array, grad in zip(parameters, grads):
+        for _ in range(6):
+            place = tuple(rng.integers(0, n) for n in array.shape)
+            assert abs(slope(array, place) - grad[place]) < 2e-3
+    for k in rng.integers(0, len(touched), 12):
+        if touched[k]:
+            assert abs(slope(model.embedding, (touched[k], 3)) - d_embedding[k, 3]) < 2e-3
+    before = model.bias
+    model.bias = before + 1e-3
+    up = loss()
+    model.bias = before - 1e-3
+    assert abs((up - loss()) / 2e-3 - d_bias) < 2e-3
+
+
+def test_repeated_ids_train_alike(spark):
+    rows = corpus(200, 6)
+    more = [(i, t + " zz") for i, t, _ in rows[:50]] + [(i, None) for i, _, _ in rows[:20]]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    all_ = [(i, t) for i, t, _ in rows] + more
+    one, other = (T.fit(spark.createDataFrame(r, "doc_id bigint, text string"), labels) for r in (all_, all_[::-1]))
+    assert (one.embedding == other.embedding).all() and one.bias == other.bias
