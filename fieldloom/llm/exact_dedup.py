@@ -10,7 +10,8 @@ fingerprint, so that even a collision of fingerprints separates different texts.
 
 Defined results: a null text counts as empty; empty texts are copies of each other; a null
 doc_id is a document whose id sorts after all others; rows that repeat a doc_id are separate
-rows, and of full ties the row that the table holds first stays; an empty table gives an empty
+rows, and of full ties the row of the least row key (file and position) stays; very long texts are
+compared whole; an empty table gives an empty
 result. Extra columns are ignored.
 """
 
@@ -49,10 +50,13 @@ class CountingQuotientFilter:
         starts = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.zeros(0, np.int64)
         weights = np.ones(len(sorted_), np.int64) if counts is None else counts[order]
         sums = np.add.reduceat(weights, starts) if len(starts) else np.zeros(0, np.int64)
-        distinct = sorted_[starts]
+        return cls._of_sorted(sorted_[starts], bits, sums)
+
+    @classmethod
+    def _of_sorted(cls, distinct: np.ndarray, bits: int, counts: np.ndarray) -> CountingQuotientFilter:
         quotients = (distinct >> np.uint64(64 - bits)).astype(np.int64)
         ends = np.cumsum(np.bincount(quotients, minlength=1 << bits))
-        return cls(bits, ends, distinct & np.uint64((1 << (64 - bits)) - 1), sums)
+        return cls(bits, ends, distinct & np.uint64((1 << (64 - bits)) - 1), counts)
 
     def fingerprints(self) -> np.ndarray:
         """All fingerprints, sorted: the filter loses nothing."""
@@ -60,10 +64,15 @@ class CountingQuotientFilter:
         return (np.repeat(np.arange(len(runs), dtype=np.uint64), runs) << np.uint64(64 - self.bits)) | self.remainders
 
     def merge(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
-        """Runs of equal quotient are merged by their sorted remainders; counts of equals add up."""
-        return self.build(
-            np.concatenate([self.fingerprints(), other.fingerprints()]), self.bits, np.concatenate([self.counts, other.counts])
-        )
+        """Remainders of the other filter go to their places in the sorted runs of this one; counts of
+        equals add up. Nothing is sorted again."""
+        own, more = self.fingerprints(), other.fingerprints()
+        at = np.searchsorted(own, more)
+        hit = own[np.minimum(at, len(own) - 1)] == more if len(own) else np.zeros(len(more), bool)
+        counts = self.counts.copy()
+        counts[at[hit]] += other.counts[hit]
+        new = ~hit
+        return self._of_sorted(np.insert(own, at[new], more[new]), self.bits, np.insert(counts, at[new], other.counts[new]))
 
     def runs(self) -> Iterator[tuple[int, bytes, bytes]]:
         """(quotient, remainders, counts) of every run that is not empty."""
@@ -74,13 +83,25 @@ class CountingQuotientFilter:
             start = end
 
 
+def merge_all(parts: Iterator[CountingQuotientFilter]) -> CountingQuotientFilter | None:
+    """All filters in one. A filter is merged with those of about its size, so that a fingerprint is
+    moved as often as the logarithm of their number."""
+    held: list[CountingQuotientFilter] = []
+    for part in parts:
+        held.append(part)
+        while len(held) > 1 and len(held[-2].counts) < 2 * len(held[-1].counts):
+            last = held.pop()
+            held[-1] = held[-1].merge(last)
+    while len(held) > 1:
+        last = held.pop()
+        held[-1] = held[-1].merge(last)
+    return held[0] if held else None
+
+
 def _build(bits: int):
     def build(batches):
         """One filter per partition: batches are condensed first, then merged."""
-        whole = None
-        for batch in batches:
-            part = CountingQuotientFilter.build(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits)
-            whole = part if whole is None else whole.merge(part)
+        whole = merge_all(CountingQuotientFilter.build(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits) for b in batches)
         runs = list(whole.runs()) if whole is not None else []
         for at in range(0, len(runs), 1024):
             q, r, c = zip(*runs[at : at + 1024])
@@ -92,12 +113,13 @@ def _build(bits: int):
 def _merge(bits: int):
     def merge(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Merge all runs of one quotient, a batch at a time; memory holds the distinct ones."""
-        q, whole = int(key[0]), None
-        for frame in frames:
-            remainders = np.frombuffer(b"".join(frame.remainders), np.uint64)
-            counts = np.frombuffer(b"".join(frame.counts), np.int64)
-            part = CountingQuotientFilter.build(remainders, 1, counts)
-            whole = part if whole is None else whole.merge(part)
+
+        def parts():
+            for frame in frames:
+                counts = np.frombuffer(b"".join(frame.counts), np.int64)
+                yield CountingQuotientFilter.build(np.frombuffer(b"".join(frame.remainders), np.uint64), 1, counts)
+
+        q, whole = int(key[0]), merge_all(parts())
         several = whole.counts > 1
         fingerprints, counts = whole.fingerprints()[several], whole.counts[several]
         full = (fingerprints | np.uint64((q << (64 - bits)) & (2**64 - 1))).view(np.int64)

@@ -73,6 +73,30 @@ def test_filter_merges_without_loss():
         assert (merged.fingerprints() == values).all() and (merged.counts == counts).all()
 
 
+def test_building_takes_little_more_than_linear_time():
+    import time
+
+    import pyarrow as pa
+
+    from fieldloom.llm.exact_dedup import _build, merge_all
+
+    rng = np.random.default_rng(2)
+
+    def seconds(n):
+        values = rng.integers(-(2**62), 2**62, n)
+        batches = [pa.RecordBatch.from_arrays([pa.array(values[at : at + 1000])], names=["fp"]) for at in range(0, n, 1000)]
+        start = time.time()
+        rows = sum(len(np.frombuffer(r, np.uint64)) for b in _build(6)(iter(batches)) for r in b.column(1).to_pylist())
+        assert rows == n
+        return time.time() - start
+
+    assert seconds(800_000) < 8 + 12 * seconds(100_000)
+    parts = [rng.integers(0, 500, 100).astype(np.uint64) for _ in range(40)]
+    whole = merge_all(CountingQuotientFilter.build(p, 6) for p in parts)
+    values, counts = np.unique(np.concatenate(parts), return_counts=True)
+    assert (whole.fingerprints() == values).all() and (whole.counts == counts).all() and merge_all(iter([])) is None
+
+
 def test_simhash_of_one_shingle_and_none():
     import xxhash
 
