@@ -140,7 +140,7 @@ def _decoded(kind: str):
                 try:
                     bands, place, nodata = pixels(content)
                 except Exception as e:  # a file that can't be read is a row that says why
-                    yield pd.DataFrame({"path": [path], "error": [f"{type(e).__name__}: {e}"]}).reindex(columns=[c.split()[0] for c in _READ.split(", ")])
+                    yield pd.DataFrame({c.split()[0]: [None] for c in _READ.split(", ")} | {"path": [path], "error": [f"{type(e).__name__}: {e}"]}, dtype=object)
                     continue
                 if nodata is not None:
                     bands = np.where(bands == nodata, np.nan, bands)
