@@ -6,6 +6,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
+from fieldloom.operators import evaluation as ev
+from fieldloom.operators import gradients as g
 from fieldloom.operators import kernels as k
 from fieldloom.operators import matching as mt
 from fieldloom.plans.catalogue import query
@@ -20,13 +22,13 @@ def _long(frame: pd.DataFrame, **arrays) -> pd.DataFrame:
 
 
 def canny_tile(frame: pd.DataFrame) -> pd.DataFrame:
-    magnitude, edge = k.canny(k.grid(frame, "value", 0.0), 1.0, 0.3, 0.9, quantiles=True)
-    return _long(frame, magnitude=magnitude, edge=edge)
+    return _long(frame, gradient=g.canny_strength(k.grid(frame, "value", 0.0), 1.0, 0.3, 0.9))
 
 
 @query("canny_gradient")
 def canny_gradient(spark, sf_dir):
-    return k.per_tile(pixels(spark, sf_dir), canny_tile, "tile bigint, r bigint, c bigint, magnitude double, edge boolean")
+    """The gradient magnitude on edges, zero elsewhere."""
+    return k.per_tile(pixels(spark, sf_dir), canny_tile, "tile bigint, r bigint, c bigint, gradient double")
 
 
 def watershed_tile(frame: pd.DataFrame) -> pd.DataFrame:
@@ -70,22 +72,11 @@ def region_shape(spark, sf_dir):
     return k.per_tile(pixels(spark, sf_dir).where("gt IS NOT NULL"), shapes_tile, schema)
 
 
-def edge_tile(frame: pd.DataFrame) -> pd.DataFrame:
-    gt, pred = k.grid(frame, "gt"), k.grid(frame, "pred")
-    rows = []
-    for a, b in sorted({(a, b) for a, b in zip(gt[~np.isnan(gt) & ~np.isnan(pred)], pred[~np.isnan(gt) & ~np.isnan(pred)])}):
-        there, back, hausdorff = k.edge_distances(gt == a, pred == b)
-        rows.append((frame.tile.iloc[0], int(a), int(b), there, back, (there + back) / 2, hausdorff))
-    return pd.DataFrame(rows, columns=["tile", "gt", "pred", "mae_gt", "mae_pred", "bde", "hausdorff_dist"])
-
-
 @query("object_edge_metrics")
 def object_edge_metrics(spark, sf_dir):
-    """Boundary distances of the best matches, on the pixel rims of the objects."""
+    """Boundary distances of the best matches, from points along the objects' outlines."""
     px = pixels(spark, sf_dir)
-    best = mt.best_matches(mt.object_overlaps(px)).select("tile", "gt", "pred")
-    found = k.per_tile(px, edge_tile, "tile bigint, gt bigint, pred bigint, mae_gt double, mae_pred double, bde double, hausdorff_dist double")
-    return found.join(best, ["tile", "gt", "pred"], "left_semi")
+    return ev.outline_metrics(px, mt.best_matches(mt.object_overlaps(px)).select("tile", "gt", "pred"))
 
 
 def ssim_tile(frame: pd.DataFrame) -> pd.DataFrame:

@@ -68,3 +68,44 @@ SELECT tile, inst, k AS first, area FROM pa QUALIFY row_number() OVER (PARTITION
 def largest_component(spark, sf_dir):
     """The largest part of each mask over a score: its first pixel and its area."""
     return masks(spark, sf_dir).where("score > 190").groupBy("tile", "inst").applyInPandas(_largest(SIZE), "tile bigint, inst bigint, first bigint, area bigint")
+
+
+@query("rle_texts", f"""WITH {INST}, rr AS (SELECT *, unnest(range(y0, y0 + h)) AS r FROM inst), cc AS (SELECT *, unnest(range(x0, x0 + w)) AS c FROM rr),
+mk AS (SELECT tile, inst, r, c FROM cc WHERE (r + c + inst) % 7 <> 0 AND score > 120) SELECT tile, inst, count(*) AS area, min(c) AS x, min(r) AS y, max(c) - min(c) + 1 AS w, max(r) - min(r) + 1 AS h FROM mk GROUP BY ALL""")
+def rle_texts(spark, sf_dir):
+    """Masks written as run-length text and read back: area and box of what comes out."""
+    import numpy as np
+    import pandas as pd
+
+    from fieldloom.functions import masks as fm
+
+    def write(frame: pd.DataFrame) -> pd.DataFrame:
+        mask = np.zeros((SIZE, SIZE), bool)
+        mask[frame.r, frame.c] = True
+        return pd.DataFrame({"tile": [frame.tile.iloc[0]], "inst": [frame.inst.iloc[0]], "counts": [fm.text_of_lengths(fm.run_lengths(mask))]})
+
+    def read(frames):
+        for frame in frames:
+            found = [fm.mask_of(fm.lengths_of_text(t), SIZE, SIZE) for t in frame["counts"]]
+            boxes = np.array([fm.box_of(x) for x in found]).reshape(-1, 4)
+            yield frame.drop(columns="counts").assign(area=[int(x.sum()) for x in found], **{k: boxes[:, n] for n, k in enumerate("xywh")})
+
+    texts = masks(spark, sf_dir).where("score > 120").groupBy("tile", "inst").applyInPandas(write, "tile bigint, inst bigint, counts string")
+    return texts.mapInPandas(read, "tile bigint, inst bigint, area bigint, x bigint, y bigint, w bigint, h bigint")
+
+
+@query("rotated_boxes")
+def rotated_boxes(spark, sf_dir):
+    """The least rotated box around each mask's pixels."""
+    import numpy as np
+    import pandas as pd
+
+    from fieldloom.functions import masks as fm
+
+    def box(frame: pd.DataFrame) -> pd.DataFrame:
+        found = fm.rotated_box(np.column_stack([frame.c, frame.r]))
+        return pd.DataFrame([(frame.tile.iloc[0], frame.inst.iloc[0], *found)], columns=["tile", "inst", "x", "y", "w", "h", "angle"])
+
+    px = masks(spark, sf_dir).where("score > 120")
+    out = px.groupBy("tile", "inst").applyInPandas(box, "tile bigint, inst bigint, x double, y double, w double, h double, angle double")
+    return out.select("tile", "inst", *[stable(c).alias(c) for c in ("x", "y", "w", "h", "angle")])
