@@ -4,38 +4,38 @@ A text is scored as its tokens: lower-cased words, then an end. The base score i
 smoothed counts of words. The model codes the bytes of the tokens (a space after each word, a
 line feed as the end) bit by bit. Hashed-context predictors of several orders each keep counts
 of zeros and ones by context and position in the byte; their logits are combined by weights that
-a gate selects, by how many orders have seen the context and how often. The result is refined
-adaptively: mixers of different sharpness and the base give each token a probability (the base
-has one escape for all words that it does not know, which the mixers spell out), and a text is coded by their mean under shares that follow what has served its
-earlier tokens best. The sum over bits is a code length, hence total bits per byte and a log10
-probability.
+a gate selects, by how often the longest predictors have seen the context. The result is refined
+adaptively twice: a last stage maps gate and mixed logit to the share of ones that such bits had
+when they were predicted, and each token gets the mean of that and of the base under shares that
+follow what has served the text's earlier tokens best (the base has one escape for all words that
+it does not know, which the bits spell out). The sum over bits is a code length, hence total bits
+per byte and a log10 probability.
 
 One pass over every row that is learned from gathers, in each task:
 * counts of words, summed by a shuffle, as many as there are words;
 * counts of bits in hashed tables, whose pages are merged in a tree of fan-in `FAN`, so that no
   task gets the pages of all tasks;
-* gated weights, learned online: each chunk of texts is first predicted from the counts of the
-  task so far, the weights take Newton steps on what was predicted, and only then are its bits
-  counted. Weights are averaged over tasks by the bits they have seen.
-The size of the bit tables follows the corpus: a pass before counts, on a hashed sample of one in
-`SAMPLE` contexts of each order, the slots that the corpus wants, and each table gets the least
-power of two of at least `ROOM` times that, and at least the size of `TABLE_BITS`. There is no
-upper bound: the memory of a task (8 bytes a slot to learn, 2 to score) grows as the number of
-distinct contexts does. The merged tables (2 bytes a slot) are broadcast. Word counts are not, for
+* gated weights and the last stage, learned online: each chunk of texts is first predicted from
+  the counts of the task so far, the weights take Newton steps on what was predicted, and only
+  then are its bits counted. Weights are averaged over tasks by the bits they have seen.
+What is gathered of words is exact and grows with the corpus: the chance of a whole word is that
+of all its bytes after the word so far, a context without end. Word counts are not broadcast, for
 they grow: the texts are dealt into blocks of `BLOCK` bytes, the distinct words of each block
-fetch their counts by a join, and each block is scored together with its words.
+fetch their counts by a join, and each block is scored together with its words. The bit tables
+are hashed, and their size is a parameter (`TABLE_BITS`, 23 MB as broadcast), so that what every
+task holds has a bound: contexts of a larger corpus share slots, and the weights of the
+predictors that suffer from that fall, as they learn from it.
 
 Within a chunk of texts most contexts repeat, so everything is computed for distinct contexts
 and looked up by position.
 
 Defined results: a null text counts as empty and is the end alone; a null id is learned from;
-repeated rows are scored (and learned from) each; without any row to learn from every byte is
-predicted from empty tables; an empty table gives an empty result. Extra columns are ignored.
+repeated rows are scored (and learned from) each; a very long text is scored whole, as a chunk of its
+own; without any row to learn from every byte is predicted from empty tables; an empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -49,37 +49,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._common import stored, text_batches
+from ._common import stored
 
-#: Bytes before the predicted one that each predictor sees.
+#: Bytes before the predicted one that each predictor sees, and the sizes of their tables as powers of two.
 ORDERS = (1, 2, 3, 4, 6)
-#: The least sizes of their tables, as powers of two; slots for each one that the corpus wants.
 TABLE_BITS = (16, 20, 21, 22, 22)
-ROOM = 2
-#: One context in so many is looked at to size the tables.
-SAMPLE = 256
-#: Gates: how many predictors have seen the context, and how often the last of them has.
-OFTEN = (2, 4)
-GATES = (len(ORDERS) + 1) * (len(OFTEN) + 1)
+SLOTS = sum(1 << b for b in TABLE_BITS)
+_STARTS = np.cumsum([0, *(1 << b for b in TABLE_BITS)])
+#: The gate says how often each of the three longest predictors has seen its context: never, or at least so often.
+OFTEN = (1, 3, 16)
+GATED = 3
+GATES = (len(OFTEN) + 1) ** GATED
+#: Steps of the mixed logit in the last stage, their width and reach, and the weight of its prior.
+STEP, REACH, TRUST = 8, 12, 8.0
+STEPS = 2 * STEP * REACH + 1
 PAGE = 1 << 16
-#: Bytes of text that are analysed at a time, and bytes of a block that is scored with its words.
-CHUNK, BLOCK = 3 << 20, 16 << 20
+#: Bytes of text that are learned from at a time, at first and at most, that are scored at a time, and of a block
+#: that is scored with its words.
+FIRST, LEARNED, CHUNK, BLOCK = 1 << 20, 16 << 20, 8 << 20, 16 << 20
 FAN = 64
 #: Contexts that are worked on at a time, and the least curvature of a Newton step.
 PART, PRIOR = 1 << 14, 50.0
-#: How sharp the mixers of the last stage are.
-SHARPNESS = np.array([0.5, 0.7, 0.85, 1.0, 1.15], np.float32)
 #: Words that a task counts before it sends what it has.
 WORDS = 300_000
 END = "\n"
+#: What stands before a text, a byte that no text holds.
+EDGE = 0xFF
 
-
-
-def starts(bits: tuple[int, ...]) -> np.ndarray:
-    return np.cumsum([0, *(1 << b for b in bits)])
-
-
-_STARTS = starts(TABLE_BITS)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NODE = np.uint64(0xD6E8FEB86659FD93)
 _LOW, _HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
@@ -91,146 +87,174 @@ def tokens(text: str | None) -> bytes:
     return b" ".join([*words, END.encode()])
 
 
-def positions(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(Bytes before, byte) of every position as an integer, text sizes."""
-    reach = max(ORDERS)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    data = b"\0" * 8 + b"".join(b"\0" * reach + t for t in texts)
-    # every position as the eight bytes that end there, of which reach + 1 count
-    ending = np.ndarray(len(data) - 8, ">u8", data, offset=1, strides=(1,))
-    inside = np.ones(len(ending), bool)
-    firsts = np.cumsum(sizes + reach) - sizes - reach
-    inside[(firsts[:, None] + np.arange(reach)).ravel()] = False
-    key = ending[inside].astype(np.uint64)
-    key &= np.uint64((1 << (8 * reach + 8)) - 1)
-    return key, sizes
-
-
-def distinct_contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (bytes before, byte) as integers, the number of each position, text sizes."""
-    key, sizes = positions(texts)
-    coded = pa.array(key.view(np.int64)).dictionary_encode()
-    return coded.dictionary.to_numpy().view(np.uint64), coded.indices.to_numpy(), sizes
-
-
-def bits_of(contexts: np.ndarray) -> np.ndarray:
-    """The eight bits of the byte of each context, high bit first."""
-    return np.unpackbits((contexts & np.uint64(255)).astype(np.uint8)[:, None], axis=1)
-
-
-def _hashed(contexts: np.ndarray, order: int) -> np.ndarray:
-    before = (contexts >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)
-    hashed = (before + np.uint64(order << 56)) * _MIX
+def positions(texts: list[bytes]) -> np.ndarray:
+    """(Bytes before, byte) as an integer, of every position of the texts and of the edges before them."""
+    edge = bytes([EDGE]) * max(ORDERS)
+    data = edge + b"".join(edge + t for t in texts)
+    # every position as the eight bytes that end there, of which the longest order and one count
+    key = np.ndarray(len(data) - 7, ">u8", data, strides=(1,)).astype(np.uint64)
+    key &= np.uint64((1 << (8 * max(ORDERS) + 8)) - 1)
+    return key
+
+
+def counted_contexts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct integers of the positions, without those of edges, and how often each comes; sorts in place."""
+    key.sort()
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    distinct, often = key[starts], np.diff(np.r_[starts, len(key)])
+    inside = distinct & np.uint64(255) != EDGE
+    return distinct[inside], often[inside]
+
+
+def distinct_contexts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct integers (some may come twice), and for each position its number among them.
+
+    Positions are sorted by a hash that leaves room for the position itself, and a group ends where
+    the integers differ, so equal hashes of different integers do no harm."""
+    room = max(1, len(key) - 1).bit_length()
+    hashed = key * _MIX
+    hashed ^= hashed >> np.uint64(32)
+    hashed *= _NODE
+    hashed &= ~np.uint64((1 << room) - 1)
+    hashed |= np.arange(len(key), dtype=np.uint64)
+    hashed.sort()
+    hashed &= np.uint64((1 << room) - 1)
+    order = hashed.astype(np.int32 if room < 32 else np.int64)
+    del hashed
+    ordered = key[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]]
+    place = np.empty(len(key), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], place
+
+
+#: Of each byte, its bits (high first) and the place of each bit among those of its half, given the bits before it.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).T.copy()
+_NODES = np.stack([(1 << j % 4) | ((np.arange(256) >> (4 if j < 4 else 0) & 15) >> (4 - j % 4)) for j in range(8)]).astype(np.int32)
+_HALVES = (np.uint64(1) + (np.arange(256, dtype=np.uint64) >> np.uint64(4))) * _MIX
+
+
+def bytes_of(contexts: np.ndarray) -> np.ndarray:
+    return (contexts & np.uint64(255)).astype(np.uint8)
+
+
+def slots(contexts: np.ndarray, byte: np.ndarray, k: int) -> np.ndarray:
+    """Table positions of the k-th predictor for the eight bits of each context (bit, context).
+
+    The context and the bits before choose a line of 16 slots for each half of the byte."""
+    order, lines = ORDERS[k], np.uint64(64 + 4 - TABLE_BITS[k])
+    hashed = (contexts >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)
+    hashed += np.uint64(order << 56)
+    hashed *= _MIX
     hashed ^= hashed >> np.uint64(29)
-    return hashed
-
-
-def slots(contexts: np.ndarray, k: int, bits: tuple[int, ...] = TABLE_BITS) -> np.ndarray:
-    """Table positions of the k-th predictor for the eight bits of each context."""
-    order, size, first = ORDERS[k], bits[k], starts(bits)
-    byte = contexts & np.uint64(255)
-    hashed = _hashed(contexts, order)
-    kind = np.int32 if first[-1] < 1 << 30 else np.int64  # of twice a slot
-    out = np.empty((len(contexts), 8), kind)
-    for j in range(8):
-        node = np.uint64(1 << j) | (byte >> np.uint64(8 - j))
-        out[:, j] = ((hashed + node * _NODE) * _MIX) >> np.uint64(64 - size)
-    return out + kind(first[k])
+    high = ((hashed * _NODE) >> lines).astype(np.int32) << 4
+    hashed += np.take(_HALVES, byte)
+    hashed *= _NODE
+    low = (hashed >> lines).astype(np.int32) << 4
+    out = np.take(_NODES, byte, axis=1, mode="clip")
+    out[:4] += high + np.int32(_STARTS[k])
+    out[4:] += low + np.int32(_STARTS[k])
+    return out
 
 
 def logits(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4)))
 
 
-def gates(totals: list[np.ndarray]) -> np.ndarray:
-    """Gate of each context and bit from the total counts by order."""
-    seen, last = np.zeros(totals[0].shape, np.int8), np.zeros(totals[0].shape, np.float32)
-    for n in totals:
-        seen += n > 0
-        last = np.where(n > 0, n, last)
-    return seen * np.int8(len(OFTEN) + 1) + sum((last >= o).astype(np.int8) for o in OFTEN)
+#: A state is how often a slot was seen, as the last of these that it reached, and its logit in 64 levels.
+_TIMES = np.array([0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 512, 2048, 8192])
+_WIDEST = np.log((np.r_[_TIMES[1:] - 1, 1 << 17] + 0.4) / 0.4)
+#: The logit of each state, and its share of the gate.
+_STRETCH = (_WIDEST[:, None] * np.linspace(-1, 1, 64)).astype(np.float32).ravel()
+_STRETCH[:64] = 0
+_CLASS = np.repeat(np.searchsorted(OFTEN, _TIMES, "right"), 64).astype(np.int32)
 
 
-class Tables:
-    """Merged counts of zeros and ones by slot as bytes; pairs over 255 are scaled down."""
+def states(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """States of slots from their counts of zeros and ones."""
+    times = np.searchsorted(_TIMES, n0.astype(np.int64) + n1, "right") - 1
+    with np.errstate(invalid="ignore"):
+        level = np.nan_to_num((logits(n0.astype(np.float64), n1) / _WIDEST[times] + 1) * 31.5)
+    return (times * 64 + np.clip(np.rint(level), 0, 63)).astype(np.uint16)
 
-    def __init__(self, counts: np.ndarray, bits: tuple[int, ...] = TABLE_BITS):
-        self.counts, self.bits = counts, bits
-        n0, n1 = np.meshgrid(np.arange(256, dtype=np.float32), np.arange(256, dtype=np.float32), indexing="ij")
-        self.stretch = logits(n0, n1).astype(np.float32).ravel()
 
-    def inputs(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of all predictors (context, bit, order) and the gate (context, bit)."""
-        pairs = [np.take(self.counts, slots(contexts, k, self.bits)) for k in range(len(ORDERS))]
-        return np.stack([np.take(self.stretch, p) for p in pairs], axis=2), gates([(p & 255) + (p >> 8) for p in pairs])
+class Model:
+    """The states of all slots, the gated weights, and the counts of the last stage (gate and step, bit)."""
 
+    def __init__(self, state: np.ndarray, weights: np.ndarray, seen: np.ndarray):
+        self.state, self.weights = state, weights
+        logit = np.tile(np.linspace(-REACH, REACH, STEPS), GATES)
+        one = (seen[:, 1] + TRUST * _sigmoid(logit)) / (seen.sum(axis=1) + TRUST)
+        self.last = np.log10(np.column_stack([1 - one, one])).astype(np.float32).ravel()
+        self.parts = [(weights[:, k : k + 1] * _STRETCH).astype(np.float32).ravel() for k in range(len(ORDERS))]
 
-def _pack(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    most = np.maximum(np.maximum(n0, n1), 255)
-    scale = lambda n: np.where(n > 0, np.maximum(1, n * 255 // most), 0)
-    return (scale(n0.astype(np.int64)) << 8 | scale(n1.astype(np.int64))).astype(np.uint16)
+    def byte_scores(self, contexts: np.ndarray) -> np.ndarray:
+        """log10 probability of the byte of each context; zero at an edge."""
+        out = np.zeros(len(contexts), np.float32)
+        for at in range(0, len(contexts), PART):
+            own = contexts[at : at + PART]
+            byte = bytes_of(own)
+            found = [np.take(self.state, slots(own, byte, k)).astype(np.int32) for k in range(len(ORDERS))]
+            gate = np.zeros(found[0].shape, np.int32)
+            for f in found[-GATED:]:
+                gate *= len(OFTEN) + 1
+                gate += np.take(_CLASS, f)
+            base, z = gate << 10, np.zeros(gate.shape, np.float32)
+            for part, f in zip(self.parts, found):
+                f += base
+                z += np.take(part, f)
+            index = (gate * STEPS + steps(z)) * 2 + np.take(_BITS, byte, axis=1)
+            out[at : at + PART] = np.where(byte == EDGE, 0, np.take(self.last, index).sum(axis=0))
+        return out
+
+
+def steps(z: np.ndarray) -> np.ndarray:
+    """Mixed logits as steps of the last stage."""
+    return (np.rint(np.clip(z, -REACH, REACH) * np.float32(STEP)) + STEP * REACH).astype(np.int32)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -15, 15)))
 
 
-def byte_scores(tables: Tables, contexts: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """log10 probability of the byte of each context under each mixer (context, mixer)."""
-    out = np.empty((len(contexts), len(SHARPNESS)), np.float32)
-    for at in range(0, len(contexts), PART):
-        own = contexts[at : at + PART]
-        x, gate = tables.inputs(own)
-        z = np.einsum("ubk,ubk->ub", x, weights[gate].astype(np.float32))
-        wrong = np.where(bits_of(own), -z, z)
-        for k, sharp in enumerate(SHARPNESS):
-            odds = np.exp(np.clip(wrong * sharp, -12, 12))
-            out[at : at + PART, k] = -np.log((1 + odds)).sum(axis=1)
-    return out / np.float32(np.log(10))
-
-
-def fit_weights(x: np.ndarray, gate: np.ndarray, bits: np.ndarray, often: np.ndarray, weights: np.ndarray, curvature: np.ndarray) -> None:
+def fit_weights(x: list[np.ndarray], p: np.ndarray, gate: np.ndarray, bits: np.ndarray, often: np.ndarray, weights: np.ndarray, curvature: np.ndarray) -> None:
     """An online Newton step, a small one, for the weights of each gate; changes both arrays in place."""
-    p = _sigmoid(np.einsum("ubk,ubk->ub", x, weights[gate].astype(np.float32)))
-    pull, bend = ((bits - p) * often[:, None]).ravel(), (p * (1 - p) * often[:, None]).ravel()
-    order = np.argsort(gate.ravel(), kind="stable")
-    counts = np.bincount(gate.ravel(), minlength=len(weights))
-    x, pull, bend = x.reshape(-1, len(ORDERS))[order], pull[order], bend[order]
+    pull, bend = ((bits - p) * often).ravel(), (p * (1 - p) * often).ravel()
+    gate = gate.ravel().astype(np.uint8)
+    order = np.argsort(gate, kind="stable")
+    counts = np.bincount(gate, minlength=len(weights))
+    rows = np.stack([v.ravel()[order] for v in x])
+    pull, bent = pull[order], rows * bend[order]
     ends = np.cumsum(counts)
     for g in np.flatnonzero(counts):
         own = slice(ends[g] - counts[g], ends[g])
-        curvature[g] += (x[own] * bend[own, None]).T @ x[own]
-        move = np.linalg.solve(curvature[g] + PRIOR * np.eye(len(ORDERS)), x[own].T @ pull[own])
+        curvature[g] += bent[:, own] @ rows[:, own].T
+        move = np.linalg.solve(curvature[g] + PRIOR * np.eye(len(ORDERS)), rows[:, own] @ pull[own])
         weights[g] += np.clip(move, -0.1, 0.1)
 
 
-def token_scores(scores: np.ndarray, place: np.ndarray, chunk: list[bytes]) -> np.ndarray:
-    """Sums of byte scores by token (token, mixer); a token ends with its space or is the end."""
-    data = np.frombuffer(b"".join(chunk), np.uint8)
-    starts = np.flatnonzero(np.r_[True, (data[:-1] == 32) | (data[:-1] == 10)])
-    return np.add.reduceat(scores[place], starts, axis=0)
+def token_scores(scores: np.ndarray, place: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Sums of byte scores by token; a token ends with its space or is the end. data: the byte of each position."""
+    ends = (data == 32) | (data == 10)
+    return np.add.reduceat(scores[place], np.r_[0, np.flatnonzero(ends)[:-1] + 1], dtype=np.float64)
 
 
 def base_logs(logs: np.ndarray, norm: float, model: np.ndarray) -> np.ndarray:
     """log10 probability of each token under the base, from log10(count + 1) and its norm.
 
-    Tokens of count 0 share one escape, 1 / norm, by the mean of the mixers, so that the
+    Tokens of count 0 share one escape, 1 / norm, which the model spells out, so that the
     probabilities of all tokens sum to at most one."""
-    top = model.max(axis=1)
-    spelled = top + np.log10((10 ** (model - top[:, None])).mean(axis=1))
-    return logs - norm + np.where(logs > 0, 0.0, spelled)
+    return logs - norm + np.where(logs > 0, 0.0, model)
 
 
 def refined_scores(model: np.ndarray, base: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """log10 probability of each text under the mean of the mixers and the base.
-
-    Shares start equal for the model and the base and then follow the responsibilities for the
-    tokens before. Texts advance together by steps of 32 tokens, or a 64th of a longer text."""
-    logs = np.column_stack([model, base])
-    top = logs.max(axis=1)
-    p = 10 ** (logs - top[:, None])
-    prior = 32 * np.array([0.5 / model.shape[1]] * model.shape[1] + [0.5])
-    share = np.tile(prior, (len(sizes), 1))
+    """log10 probability of each text under the mean of the model and the base.
+
+    Shares start equal and then follow the responsibilities for the tokens before. Texts advance
+    together by steps of 32 tokens, or a 64th of a longer text."""
+    top = np.maximum(model, base)
+    p, q = 10 ** (model - top), 10 ** (base - top)
+    share, held = np.full(len(sizes), 16.0), np.full(len(sizes), 32.0)
     step = np.maximum(32, -(-sizes // 64))
     starts = np.cumsum(sizes) - sizes
     out, done = np.zeros(len(sizes)), np.zeros(len(sizes), np.int64)
@@ -239,64 +263,76 @@ def refined_scores(model: np.ndarray, base: np.ndarray, sizes: np.ndarray) -> np
         n = np.minimum(step[live], sizes[live] - done[live])
         first = np.cumsum(n) - n
         at = np.repeat(starts[live] + done[live] - first, n) + np.arange(n.sum())
-        weight = share[live] / share[live].sum(axis=1, keepdims=True)
-        parts = p[at] * np.repeat(weight, n, axis=0)
-        mean = parts.sum(axis=1)
+        own = np.repeat(share[live] / held[live], n)
+        part = p[at] * own
+        mean = part + q[at] * (1 - own)
         out[live] += np.add.reduceat(np.log10(mean) + top[at], first)
-        share[live] += np.add.reduceat(parts / mean[:, None], first, axis=0)
+        share[live] += np.add.reduceat(part / mean, first)
+        held[live] += n
         done[live] += n
         live = live[done[live] < sizes[live]]
     return out
 
 
-def _chunks(texts: Iterator[bytes], most: int = CHUNK) -> Iterator[list[bytes]]:
+def _chunks(texts: Iterator[bytes], first: int = CHUNK, most: int = CHUNK) -> Iterator[list[bytes]]:
+    """Texts by `first` bytes, then four times as many each time, up to `most`."""
     held, size = [], 0
     for t in texts:
         held.append(t)
         size += len(t)
-        if size >= most:
+        if size >= first:
             yield held
-            held, size = [], 0
+            held, size, first = [], 0, min(most, 4 * first)
     if held:
         yield held
 
 
 class Learner:
-    """Counts and weights of one task, learned online."""
+    """Counts, weights and last stage of one task, learned online."""
 
-    def __init__(self, bits: tuple[int, ...] = TABLE_BITS):
-        self.bits = bits
-        self.counts = np.zeros((int(starts(bits)[-1]), 2), np.uint32)
+    def __init__(self):
+        self.counts = np.zeros((SLOTS, 2), np.uint32)
         self.weights = np.full((GATES, len(ORDERS)), 0.3)
         self.curvature, self.seen = np.zeros((GATES, len(ORDERS), len(ORDERS))), np.zeros(GATES)
+        self.last = np.zeros((GATES * STEPS, 2))
 
     def add(self, texts: list[bytes]) -> None:
-        """Predict a chunk, learn weights from that, then count it."""
-        contexts, place, _ = distinct_contexts(texts)
-        often = np.bincount(place, minlength=len(contexts)).astype(np.uint32)
-        kept, both = [], self.counts.view(np.uint64).ravel()  # zeros in the low half, ones in the high
+        """Part by part of the distinct contexts: predict, learn weights and the last stage from that, then count."""
+        contexts, often = counted_contexts(positions(texts))
         for at in range(0, len(contexts), PART):
-            own, times = contexts[at : at + PART], often[at : at + PART]
-            bits, places = bits_of(own), [slots(own, k, self.bits) for k in range(len(ORDERS))]
-            pairs = [np.take(both, p) for p in places]
-            zeros, ones = ([(p & _LOW).astype(np.float32) for p in pairs], [(p >> _HALF).astype(np.float32) for p in pairs])
-            x = np.stack([logits(a, b) for a, b in zip(zeros, ones)], axis=2)
-            gate = gates([a + b for a, b in zip(zeros, ones)])
-            fit_weights(x, gate, bits, times.astype(np.float32), self.weights, self.curvature)
-            self.seen += np.bincount(gate.ravel(), np.repeat(times, 8), GATES)
-            kept.append(([p * 2 + bits for p in places], np.repeat(times, 8)))
-        flat = self.counts.reshape(-1)
-        for places, times in kept:
-            for p in places:
-                np.add.at(flat, p.ravel(), times)
+            self._learn(contexts[at : at + PART], often[at : at + PART])
+
+    def _learn(self, own: np.ndarray, often: np.ndarray) -> None:
+        both = self.counts.view(np.uint64).ravel()  # zeros in the low half, ones in the high
+        byte = bytes_of(own)
+        bits, x, gate = np.take(_BITS, byte, axis=1), [], np.zeros((8, len(own)), np.int32)
+        places = [slots(own, byte, k) for k in range(len(ORDERS))]
+        for k, place in enumerate(places):
+            pairs = np.take(both, place)
+            zeros, ones = (pairs & _LOW).astype(np.float32), (pairs >> _HALF).astype(np.float32)
+            x.append(logits(zeros, ones))
+            if k >= len(ORDERS) - GATED:
+                zeros += ones
+                gate *= len(OFTEN) + 1
+                for o in OFTEN:
+                    gate += zeros >= o
+        z = sum(np.take(self.weights[:, k].astype(np.float32), gate) * v for k, v in enumerate(x))
+        index = ((gate * STEPS + steps(z)) * 2 + bits).ravel()
+        times = np.broadcast_to(often, gate.shape)
+        self.last += np.bincount(index, times.ravel(), self.last.size).reshape(-1, 2)
+        self.seen += np.bincount(gate.ravel(), times.ravel(), GATES)
+        fit_weights(x, _sigmoid(z), gate, bits, often.astype(np.float32), self.weights, self.curvature)
+        more = (times.astype(np.uint64) << (bits * np.uint64(32))).ravel()
+        for place in places:
+            np.add.at(both, place.ravel(), more)
 
 
 def _squeezed(a: np.ndarray) -> bytes:
-    return zlib.compress(a.astype(np.uint16).tobytes(), 1)
+    return len(a).to_bytes(4, "little") + pa.compress(a.astype(np.uint16).tobytes(), "zstd", asbytes=True)
 
 
 def _loose(b: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), np.uint16)
+    return np.frombuffer(pa.decompress(b[4:], 2 * int.from_bytes(b[:4], "little"), "zstd", asbytes=True), np.uint16)
 
 
 def _page(counts: np.ndarray) -> tuple[bytes, bytes, bytes] | None:
@@ -313,8 +349,9 @@ def _page(counts: np.ndarray) -> tuple[bytes, bytes, bytes] | None:
 _GATHERED = "page int, task int, word string, n bigint, slot binary, zeros binary, ones binary, w double, seen double"
 
 
-def _gather(bits: tuple[int, ...], schema: pa.Schema):
-    """Counts of words (page null), weights (page -1, task their number) and pages of bit counts of one task."""
+def _gather(schema: pa.Schema):
+    """Counts of words (page null), weights (page -1, task their number), counts of the last stage
+    (page -2, likewise) and pages of bit counts of one task."""
 
     def rows(**columns):
         n = len(next(iter(columns.values())))
@@ -328,8 +365,8 @@ def _gather(bits: tuple[int, ...], schema: pa.Schema):
             yield rows(word=[w.decode() for w, _ in part], n=[c for _, c in part])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, learner = Counter(), Learner(bits)
-        for texts in _chunks(tokens(t) for b in batches for t in b.column(0).to_pylist()):
+        words, learner = Counter(), Learner()
+        for texts in _chunks((tokens(t) for b in batches for t in b.column(0).to_pylist()), FIRST, LEARNED):
             words.update(b" ".join(texts).split(b" "))  # ends are words of their own
             if len(words) > WORDS:
                 yield from counted(words)
@@ -337,8 +374,10 @@ def _gather(bits: tuple[int, ...], schema: pa.Schema):
         yield from counted(words)
         gate = np.arange(learner.weights.size) // len(ORDERS)
         yield rows(page=[-1] * len(gate), task=list(range(len(gate))), w=(learner.weights.ravel() * learner.seen[gate]).tolist(), seen=learner.seen[gate].tolist())
+        used = np.flatnonzero(learner.last.any(axis=1))
+        yield rows(page=[-2] * len(used), task=used.tolist(), w=learner.last[used, 0].tolist(), seen=learner.last[used, 1].tolist())
         task = TaskContext.get().partitionId()
-        for page in range(len(learner.counts) // PAGE):
+        for page in range(SLOTS // PAGE):
             if part := _page(learner.counts[page * PAGE : (page + 1) * PAGE]):
                 yield rows(page=[page], task=[task], slot=[part[0]], zeros=[part[1]], ones=[part[2]])
 
@@ -357,29 +396,8 @@ def _merge_pages(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.Data
     yield pd.DataFrame({"page": [key[0]], "task": [key[1]], "slot": [slot], "zeros": [zeros], "ones": [ones]})
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (predictor, hashed context, byte) of each chunk, of the sampled contexts."""
-    top = np.uint64(64 - SAMPLE.bit_length() + 1)
-    for texts in _chunks(tokens(t) for b in batches for t in b.column(0).to_pylist()):
-        key, _ = positions(texts)
-        for k, order in enumerate(ORDERS):
-            hashed = _hashed(key, order)
-            own = np.flatnonzero(hashed * _NODE >> top == 0)
-            found = np.unique(np.stack([hashed[own], key[own] & np.uint64(255)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), k, np.int32)), pa.array(found[:, 0].view(np.int64)), pa.array(found[:, 1].astype(np.int32))], names=["k", "context", "byte"])
-
-
-def table_bits(learned: DataFrame) -> tuple[int, ...]:
-    """Table sizes as powers of two, from an estimate of the slots that the texts want."""
-    found = learned.mapInArrow(_sampled, "k int, context bigint, byte int").distinct()
-    nodes = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.pow(F.lit(2), j).cast("int") + F.floor(F.col("byte") / F.pow(F.lit(2), 8 - j)).cast("int"))
-    wanted = found.select("k", "context", F.explode(nodes).alias("node")).distinct().groupBy("k").count().collect()  # a row for each order
-    wanted = {r.k: r["count"] * SAMPLE for r in wanted if ORDERS[r.k] > 1}  # of order 1 there are fewer than 2^16
-    return tuple(max(b, (ROOM * wanted.get(k, 0) - 1).bit_length() if wanted.get(k) else 0) for k, b in enumerate(TABLE_BITS))
-
-
-def bit_tables(gathered: DataFrame, bits: tuple[int, ...] = TABLE_BITS) -> Tables:
-    """Merge the pages of all tasks in a tree and pack them on the driver (2 bytes a slot)."""
+def bit_states(gathered: DataFrame) -> np.ndarray:
+    """Merge the pages of all tasks in a tree and keep the states of all slots on the driver (2 bytes a slot)."""
     pages = gathered.where("page >= 0").select("page", "task", "slot", "zeros", "ones")
     tasks = (pages.agg(F.max("task")).first()[0] or 0) + 1
     while True:
@@ -388,20 +406,24 @@ def bit_tables(gathered: DataFrame, bits: tuple[int, ...] = TABLE_BITS) -> Table
         if tasks <= 1:
             break
         pages = stored(pages, "lm-pages")
-    counts = np.zeros(int(starts(bits)[-1]), np.uint16)
+    state = np.zeros(SLOTS, np.uint16)
     for r in pages.toLocalIterator():
         at = r.page * PAGE + np.cumsum(_loose(r.slot), dtype=np.int64)
-        counts[at] = _pack(_loose(r.zeros), _loose(r.ones))
-    return Tables(counts, bits)
+        state[at] = states(_loose(r.zeros), _loose(r.ones))
+    return state
 
 
-def gated_weights(gathered: DataFrame) -> np.ndarray:
-    """Weights by gate and order, averaged over tasks by the bits that they have seen."""
-    weights = np.full(GATES * len(ORDERS), 0.3)
-    sums = gathered.where("page = -1").groupBy("task").agg(F.sum("w").alias("w"), F.sum("seen").alias("seen")).where("seen > 0")
-    for r in sums.collect():  # GATES x ORDERS numbers
-        weights[r.task] = r.w / r.seen
-    return weights.reshape(GATES, len(ORDERS))
+def gated_weights(gathered: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Weights by gate and order, averaged over tasks by the bits that they have seen, and the
+    counts of the last stage summed over tasks."""
+    weights, last = np.full(GATES * len(ORDERS), 0.3), np.zeros((GATES * STEPS, 2))
+    sums = gathered.where("page < 0").groupBy("page", "task").agg(F.sum("w").alias("w"), F.sum("seen").alias("seen"))
+    for r in sums.collect():  # GATES x ORDERS and GATES x STEPS numbers at most
+        if r.page == -2:
+            last[r.task] = r.w, r.seen
+        elif r.seen > 0:
+            weights[r.task] = r.w / r.seen
+    return weights.reshape(GATES, len(ORDERS)), last
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
@@ -443,7 +465,7 @@ def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from sent()
 
 
-def _score(tables, weights: np.ndarray, total: int, distinct: int, schema: pa.Schema):
+def _score(model, total: int, distinct: int, schema: pa.Schema):
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
         known = dict(zip((w.encode() for w in words.column("word").to_pylist()), np.log10(words.column("n").to_numpy() + 1.0).tolist()))
         column = texts.column(texts.num_columns - 1)
@@ -458,9 +480,10 @@ def _score(tables, weights: np.ndarray, total: int, distinct: int, schema: pa.Sc
             counts += sizes.tolist()
             hits += np.add.reduceat(logs > 0, starts, dtype=np.int64).tolist()
             lengths += [len(t) for t in chunk]
-            contexts, place, _ = distinct_contexts(chunk)
-            model = token_scores(byte_scores(tables.value, contexts, weights), place, chunk)
-            scores.append(refined_scores(model, base_logs(logs, norm, model), sizes))
+            key = positions(chunk)
+            contexts, place = distinct_contexts(key)
+            spelled = token_scores(model.value.byte_scores(contexts), place, bytes_of(key))
+            scores.append(refined_scores(spelled, base_logs(logs, norm, spelled), sizes))
         new = [pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(scores), pa.float64()), pa.array(lengths, pa.int64())]
         return pa.Table.from_arrays([*[texts.column(c) for c in texts.column_names[1:-1]], *new], schema=schema)
 
@@ -478,20 +501,17 @@ def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str =
     )
     learned = rows.where(learn).select("body")
     form = spark.createDataFrame([], _GATHERED).schema
-    with text_batches(spark):
-        bits = table_bits(learned)
-    gathered = stored(learned.mapInArrow(_gather(bits, to_arrow_schema(form)), form), "lm-gathered")
+    gathered = stored(learned.mapInArrow(_gather(to_arrow_schema(form)), form), "lm-gathered")
     words = stored(gathered.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tables = spark.sparkContext.broadcast(bit_tables(gathered, bits))
-    weights = gated_weights(gathered)
+    model = spark.sparkContext.broadcast(Model(bit_states(gathered), *gated_weights(gathered)))  # 2 bytes a slot
     numbered = T.StructType([T.StructField("block", T.LongType()), *rows.schema.fields])
     texts = rows.mapInArrow(_block_texts(to_arrow_schema(numbered)), numbered)
     per_block = rows.select("body").mapInArrow(_block_words, "block bigint, word string")
     per_block = per_block.join(words.hint("shuffle_hash"), "word").select("block", "word", "n")
     fields = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("n_bytes", T.LongType())]
     out = T.StructType([*rows.drop("body").schema.fields, *[T.StructField(*f) for f in fields]])
-    scored = texts.groupBy("block").cogroup(per_block.groupBy("block")).applyInArrow(_score(tables, weights, total, distinct, to_arrow_schema(out)), out)
+    scored = texts.groupBy("block").cogroup(per_block.groupBy("block")).applyInArrow(_score(model, total, distinct, to_arrow_schema(out)), out)
     scored = stored(scored, "lm-scores").withColumn("train_tokens", F.lit(total).cast("long"))
     scored = scored.withColumn("bits_per_byte", -F.col("score") / F.lit(float(np.log10(2))) / F.col("n_bytes")).drop("n_bytes")
     return scored.withColumnsRenamed({f"carry_{c}": c for c in carry})
