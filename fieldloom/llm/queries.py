@@ -128,7 +128,8 @@ SELECT conv_id, call_id, name, turn, result_turn, CAST(depth AS BIGINT) AS depth
        '{' || array_to_string(list_filter([
          CASE WHEN arguments IS NOT NULL THEN '"arguments":' || arguments END, '"id":' || to_json(call_id),
          CASE WHEN name IS NOT NULL THEN '"name":' || to_json(name) END, CASE WHEN content IS NOT NULL THEN '"result":' || to_json(content) END,
-         '"status":' || to_json(status)], lambda x: x IS NOT NULL), ',') || '}' AS record
+         '"status":' || to_json(status)], lambda x: x IS NOT NULL), ',') || '}' AS record,
+       lpad(coalesce(CAST(CAST(depth AS BIGINT) AS VARCHAR), repeat('9', 19)), 19, '0') || ':' || lpad(CAST(coalesce(turn, result_turn) AS VARCHAR), 19, '0') || ':' || call_id AS order_key
 FROM s
 """)
 def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:

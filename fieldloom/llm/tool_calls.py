@@ -20,7 +20,12 @@ identifier is linked to nothing and stays a row of its own. A parent that does n
 none. Arguments that are null or not a JSON object are "invalid json". A tool's message that
 names no call is an orphan without identifier. Messages of no or of another role that are not
 explicit calls are neither calls nor results; `other_messages` gives each of them a row of
-status "other". Empty tables give empty results.
+status "other". A number with nothing behind its point is an integer; canonical numbers keep the
+kind that they are written in (100 and 1e2 differ), and those of over 38 digits become doubles. Of
+very long texts nothing is cut. Empty tables give empty results.
+
+`order_key` sorts the rows of a conversation topologically: by depth, turn and identifier, rows
+without depth last. It is a key and not a number, so that no conversation needs a single task.
 """
 
 from __future__ import annotations
@@ -30,8 +35,8 @@ from pyspark.sql import functions as F
 
 from ._common import stored
 
-#: Most tools whose schemas are broadcast.
-BROADCAST_TOOLS = 10_000
+#: Most bytes of schemas that are broadcast: names and types, and this much for the rest of a row.
+BROADCAST_BYTES, ROW_BYTES = 16 << 20, 64
 
 #: Schemas of the two tools that plain conversations are read as.
 CONVERSATION_SCHEMAS = [
@@ -45,6 +50,11 @@ def conversation_schemas(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CONVERSATION_SCHEMAS, "name string, param string, type string, required boolean")
 
 
+def _order_key(depth: Column, turn: Column, call: Column) -> Column:
+    last = lambda c: F.lpad(F.coalesce(c.cast("string"), F.lit("9" * 19)), 19, "0")
+    return F.concat_ws(":", last(depth), last(turn), F.coalesce(call, F.lit(""))).alias("order_key")
+
+
 def _id(conv: Column, turn: Column) -> Column:
     return F.concat(F.lit("c"), conv.cast("string"), F.lit("-"), turn.cast("string"))
 
@@ -99,6 +109,7 @@ def other_messages(messages: DataFrame) -> DataFrame:
         none("long").alias("depth"), F.lit(0).cast("long").alias("n_calls"), F.lit(0).cast("long").alias("n_results"),
         F.lit("other").alias("status"), none("array<string>").alias("errors"),
         F.to_json(F.struct(F.col("body").alias("content"), "role", F.lit("other").alias("status"))).alias("record"),
+        _order_key(none("long"), F.col("turn"), none("string")),
     )
 
 
@@ -137,13 +148,16 @@ def _json_type(value: Column) -> Column:
 def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """Calls with `canonical` arguments and `errors`, the sorted list of what breaks the schema."""
     tools = schemas.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("param", "type", "required"))).alias("spec")).withColumnRenamed("name", "tool")
-    tools = F.broadcast(tools) if schemas.count() <= BROADCAST_TOOLS else tools
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) for c in ("name", "param", "type")]
+    size = schemas.agg(F.coalesce(F.sum(sizes[0] + sizes[1] + sizes[2] + ROW_BYTES), F.lit(0))).first()[0]
+    tools = F.broadcast(tools) if size <= BROADCAST_BYTES else tools
     read = calls.join(tools, F.col("name") == F.col("tool"), "left").drop("tool")
     read = read.withColumn("v", F.try_parse_json("arguments"))
     read = read.withColumn("args", F.when(F.schema_of_variant("v").startswith("OBJECT"), F.from_json("arguments", "map<string, variant>")))
     has = lambda p: F.map_contains_key("args", p["param"])
     value = lambda p: F.element_at("args", p["param"])
-    fits = lambda p: (_json_type(value(p)) == p["type"]) | ((p["type"] == "number") & (_json_type(value(p)) == "integer"))
+    whole = lambda v: (_json_type(v) == "number") & F.coalesce(F.try_variant_get(v, "$", "double") % 1 == 0, F.lit(False))
+    fits = lambda p: (_json_type(value(p)) == p["type"]) | ((p["type"] == "number") & (_json_type(value(p)) == "integer")) | ((p["type"] == "integer") & whole(value(p)))
     missing = F.transform(F.filter("spec", lambda p: p["required"] & ~has(p)), lambda p: F.concat(F.lit("missing:"), p["param"]))
     wrong = F.transform(F.filter("spec", lambda p: has(p) & ~fits(p)), lambda p: F.concat(F.lit("type:"), p["param"]))
     extra = F.transform(F.array_except(F.map_keys("args"), F.transform("spec", lambda p: p["param"])), lambda k: F.concat(F.lit("unknown:"), k))
@@ -157,8 +171,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
 
     calls: conv_id, turn, call_id, name, arguments (JSON), parent. results: conv_id, turn, call_id,
     content. schemas: name, param, type, required. The result has conv_id, call_id, name, turn,
-    result_turn, depth, n_calls, n_results, status (linked, early, pending or orphan), errors and
-    record, the canonical JSON. Ordering a conversation by depth, turn, call_id is topological.
+    result_turn, depth, n_calls, n_results, status (linked, early, pending or orphan), errors,
+    record, the canonical JSON, and order_key.
     """
     c = stored(_merged(calls, ["turn", "name", "arguments", "parent"], "n_calls", "calls"), "tool-calls")
     r = _merged(results, ["turn", "content"], "n_results", "answers").withColumnRenamed("turn", "result_turn")
@@ -181,4 +195,5 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
         F.col("canonical").alias("arguments"), calls.alias("calls"), F.col("call_id").alias("id"), "name",
         F.col("content").alias("result"), F.col("answers").alias("results"), "status",
     ))
-    return out.withColumn("record", record).drop("canonical", "content", "calls", "answers")
+    out = out.withColumn("record", record).drop("canonical", "content", "calls", "answers")
+    return out.select("*", _order_key(F.col("depth"), F.coalesce("turn", "result_turn"), F.col("call_id")))

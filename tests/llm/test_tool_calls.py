@@ -104,3 +104,20 @@ def test_native_plan(spark):
     m = spark.createDataFrame([(1, 0, "user", "x")], "conv_id bigint, turn bigint, role string, text string")
     plan = L.link_tool_calls(*L.conversation_calls(m), L.conversation_schemas(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_order_keys_are_topological_and_whole_numbers_are_integers(spark):
+    rng = random.Random(9)
+    calls = [(1, rng.randrange(50), f"k{k}", "add", '{"a":1,"b":2.0}' if k % 2 else '{"a":1,"b":2.5}', f"k{rng.randrange(k)}" if k and rng.random() < 0.8 else None) for k in range(60)]
+    rows = link(spark, calls, [(1, 3, "lost", "x")])
+    order = [r.call_id for r in sorted(rows, key=lambda r: r.order_key)]
+    place = {c: n for n, c in enumerate(order)}
+    assert order[-1] == "lost" and all(place[c[5]] < place[c[2]] for c in calls if c[5])
+    assert all(r.errors == ([] if int(r.call_id[1:]) % 2 else ["type:b"]) for r in rows if r.call_id != "lost")
+
+
+def test_very_long_arguments_and_results(spark):
+    text = "é" * 1_000_000
+    (row,) = link(spark, [(1, 0, "x", "add", json.dumps({"a": 1, "b": 2, "note": text}), None)], [(1, 1, "x", text)])
+    found = json.loads(row.record)
+    assert row.errors == [] and found["result"] == text and found["arguments"]["note"] == text
