@@ -16,7 +16,7 @@ agree whatever the partitions are.
 
 Defined results: a null text has size zero; a null source is a source of its own, after all
 others; documents of size zero give no words and are drawn by themselves; repeated rows are
-separate documents; a table without words gets targets of zero; an empty table an empty
+separate documents, and alike ones may be drawn in place of each other; very long texts count whole; a table without words gets targets of zero; an empty table an empty
 result. Extra columns are ignored.
 """
 
@@ -144,13 +144,16 @@ def mix_sources(
     """One row per document: doc_id, source, size, source_size, target, copies, taken, carried columns."""
     carried = [f"carry_{c}" for c in carry]
     sized = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *[F.col(c).alias(f"carry_{c}") for c in carry]
-    )
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+        F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).alias("content"), *[F.col(c).alias(f"carry_{c}") for c in carry],
+    )
     sized = stored(sized, "mix-sizes")
     targets = source_targets(sized, weights, share, cap)
     # rows that are alike are told apart by a running number, which may go to any of them
-    again = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(*(carried or [F.lit(0)])))
-    rated = sized.withColumn("h", F.xxhash64("doc_id", "source", "size", again, F.lit(seed)))
+    # (without an id they are alike only if their texts are; without words it makes no difference which is which)
+    again = F.row_number().over(Window.partitionBy("doc_id", "source", "size", "content").orderBy(*(carried or [F.lit(0)])))
+    told = sized.where("size > 0").withColumn("again", again).unionByName(sized.where("size = 0").withColumn("again", F.lit(1)))
+    rated = told.withColumn("h", F.xxhash64("doc_id", "source", "size", "content", "again", F.lit(seed))).drop("content", "again")
     rated = rated.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rated = rated.withColumn("rate", rate).withColumn("whole", F.floor(F.col("rate") + 1e-12))

@@ -89,3 +89,10 @@ def test_repeated_ids_and_carried_columns(spark):
 def test_native_plan(spark):
     plan = mix_sources(frame(spark, corpus(20)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_rows_without_id_are_told_apart_by_their_texts(spark):
+    """A hundred texts without id and of one size: about one and a half times each is taken, not all or none."""
+    rows = [(None, f"a b c{k}", "x") for k in range(100)] + [(None, None, "x")] * 20
+    got = mix_sources(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert len(got) == 120 and sum(r.taken for r in got) == 450 and {r.taken for r in got if r.size} == {3, 6}
