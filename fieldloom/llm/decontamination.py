@@ -9,13 +9,13 @@ k - floor((1 - t) s) of any k of them are in it; k is chosen so that this is a f
 with that many sketch hits is a candidate, so no pair is lost, and candidates are then verified
 by exact containment of the shingles as text.
 
-A sketch is small whatever the corpus is. It is broadcast if it is under `BROADCAST_ROWS`, and
-joined by shuffle otherwise.
+A sketch is small whatever the corpus is. It is broadcast if its measured size is under
+`BROADCAST_BYTES`, and joined by shuffle otherwise.
 
 Defined results: a null text counts as empty; an item without words matches nothing; an item of
 fewer than `width` words is one shingle, searched as that many consecutive words; repeated rows
-are searched each; equal items are found each; either table may be empty. Extra columns are
-ignored.
+are searched each; equal items are found each; very long texts are searched whole; either table may
+be empty. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from ._common import ROW, SPACE, stored, with_row
 
-#: Most rows of sketches or item shingles that are broadcast (under 200 bytes each).
-BROADCAST_ROWS = 500_000
+#: Most bytes of item shingles that are broadcast: their texts, and this much for the rest of a row.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 64
 #: Sketch hits that are asked for, where an item has that many shingles.
 HITS = 4
 
@@ -48,8 +48,8 @@ def _shingles(rows: DataFrame, width: int, with_text: bool) -> DataFrame:
     return hashed.drop("w").select("*", F.explode(F.sequence(F.lit(0), F.size("wh") - width)).alias("at")).withColumn("h", _hash("at", width)).drop("wh", "at")
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _bounded(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def contained_items(
@@ -85,14 +85,14 @@ def _contained(base: DataFrame, listed: DataFrame, width: int, threshold: float,
     sizes = sizes.withColumn("needed", k - slack).withColumn("sketch", F.slice("hs", F.lit(1), k)).drop("hs")
     sizes = stored(sizes, "decon-sketches")
     sketch = sizes.select("item", "needed", F.explode("sketch").alias("h"))
-    rows = full.count()
-    hits = _shingles(base.select("rid", "w"), width, False).join(_bounded(sketch, rows), "h")
+    size = full.agg(F.coalesce(F.sum(F.octet_length("shingle") + ROW_BYTES), F.lit(0))).first()[0]
+    hits = _shingles(base.select("rid", "w"), width, False).join(_bounded(sketch, size), "h")
     # the same shingle may come often in a document; a row for each is merged before the shuffle
     hits = hits.groupBy("rid", "item", "needed", "h").agg(F.lit(1).alias("one")).groupBy("rid", "item", "needed").agg(F.count("*").alias("hits"))
     candidates = stored(hits.where("hits >= needed").select("rid", "item"), "decon-candidates")
     suspects = base.join(candidates.select("rid").distinct(), "rid", "left_semi")
     shared = _shingles(suspects, width, True).select("rid", "doc_id", *carried, "h", text)
-    shared = shared.join(_bounded(full, rows), ["h", "shingle"]).join(candidates, ["rid", "item"], "left_semi")
+    shared = shared.join(_bounded(full, size), ["h", "shingle"]).join(candidates, ["rid", "item"], "left_semi")
     shared = shared.groupBy("rid", "item", "item_id", "h", "shingle").agg(*[F.first(c).alias(c) for c in ("doc_id", *carried)])
     shared = shared.groupBy("rid", "item", "item_id").agg(F.count("*").alias("shared_shingles"), *[F.first(c).alias(c) for c in ("doc_id", *carried)])
     shared = shared.join(sizes.select("item", "s"), "item").withColumn("containment", F.col("shared_shingles") / F.col("s"))

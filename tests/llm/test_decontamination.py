@@ -57,7 +57,7 @@ def test_no_pair_is_lost(spark):
 
 
 def test_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 0)
     docs, items = corpus(5)
     assert search(spark, docs, items) == brute(docs, items)
 
