@@ -7,6 +7,8 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,7 +90,7 @@ def _positions_hold(docs: DataFrame) -> bool:
     try:
         roots = plan.relation().location().rootPaths()
         docs.select(docs.metadataColumn("_metadata")["row_index"])
-    except Exception:  # no scan of files, or of files without row positions
+    except (Py4JError, PySparkException):  # no scan of files, or of files without row positions
         return False
     return roots.distinct().size() == roots.size()
 

@@ -7,22 +7,25 @@ it only sees two sums that tell whether a round changed anything.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ._common import stored
 
 
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stored(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The stored edges, and two sums that were taken while they were written."""
+    seen = Observation()
+    hashed = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    return stored(edges.observe(seen, F.count(F.lit(1)).alias("n"), hashed.alias("h")), "components"), seen.get
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of the edges, root being the smallest node it reaches."""
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    edges = stored(edges, "components")
+    edges, now = _stored(edges)
     before = None
-    while (now := _signature(edges)) != before:
+    while now["n"] and now != before:
         before = now
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("w"), F.least("u", "low").alias("m"))
@@ -30,7 +33,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
         joined = large.join(low, F.col("u") == F.col("w"))
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("w", "m")).distinct()
-        edges = stored(small, "components")
+        edges, now = _stored(small)
     return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

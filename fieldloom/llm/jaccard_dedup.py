@@ -3,8 +3,9 @@
 Rows with the same set of shingles are one node from the start. A node has `BANDS` keys, each the
 hash of `DEPTH` minima of its shingles, and nodes that share a key are compared: two of similarity
 s share none with a chance of (1 - s^DEPTH)^BANDS, which is 5e-8 at 0.8. The members of a key are
-compared a few with all others at a time, only those that are not yet connected, so that a large
-cluster of copies costs comparisons in proportion to its size. Every link is verified on the sets.
+compared the first with all others, then eight times as many in each round, only those that are not
+yet connected, so that a large cluster of copies costs comparisons in proportion to its size. Every
+link is verified on the sets.
 
 Defined results: a null text counts as empty; texts without words are copies of each other; a text
 with fewer words than a shingle has one shingle, the whole sequence; a null id never is the
@@ -26,8 +27,8 @@ from ._components import components
 from .simhash import shingle_hashes
 
 BANDS, DEPTH = 32, 4
-#: Members of a key that are compared with all others in the first round; twice as many in each later one.
-FRONT = 4
+#: How many times more members of a key are compared with all later ones in each round; in the first it is one.
+FRONT = 8
 _FACTORS = np.random.default_rng(42).integers(0, 2**64, BANDS * DEPTH, np.uint64) | np.uint64(1)
 
 
@@ -88,21 +89,29 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
     crowds = crowds.select("all").distinct().withColumn("crowd", F.monotonically_increasing_id())
     members = stored(stored(crowds, "jaccard-crowds").select("crowd", F.posexplode("all").alias("pos", "node")), "jaccard-members")
     texts = base.select("rid", "body").join(members.select(F.col("node").alias("rid")).distinct(), "rid", "left_semi")
-    links, at, front = None, 0, FRONT
+    roots, at, front = None, 0, 1
     members = members.withColumn("root", F.col("node"))
     while not members.isEmpty():
         one = members.where((F.col("pos") >= at) & (F.col("pos") < at + front)).select("crowd", F.col("pos").alias("p"), F.col("node").alias("a"), F.col("root").alias("r"))
-        pairs = members.join(one, "crowd").where("pos > p AND root <> r").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        pairs = pairs.join(texts.toDF("a", "s"), "a").join(texts.toDF("b", "t"), "b").select("a", "b", "s", "t")
+        pairs = members.join(one, "crowd").where("pos > p AND root <> r")
+        pairs = pairs.select(F.when(F.col("a") < F.col("node"), F.struct("a", F.col("node").alias("b"), F.col("r").alias("ra"), F.col("root").alias("rb"))).otherwise(F.struct(F.col("node").alias("a"), F.col("a").alias("b"), F.col("root").alias("ra"), F.col("r").alias("rb"))).alias("x"))
+        pairs = pairs.select("x.*").distinct().join(texts.toDF("a", "s"), "a").join(texts.toDF("b", "t"), "b").select("ra", "rb", "s", "t")
         found = stored(pairs.mapInArrow(_verify(width, least), f"a {key}, b {key}"), "jaccard-links")
-        links = found if links is None else links.union(found)
-        roots = stored(components(links, "a", "b"), "jaccard-roots")
-        at, front = at + front, front * 2
+        # what is linked are the components so far
+        merged = components(found, "a", "b")
+        if roots is None:
+            roots = merged
+        else:
+            again = roots.withColumnRenamed("root", "was").join(merged.withColumnRenamed("node", "was"), "was", "left")
+            fresh = merged.join(roots.select("node"), "node", "left_anti")
+            roots = again.select("node", F.coalesce("root", "was").alias("root")).unionByName(fresh)
+        roots = stored(roots, "jaccard-roots")
+        at, front = at + front, front * FRONT
         left = members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = left.groupBy("crowd").agg(F.max("pos").alias("last"), F.countDistinct("root").alias("n")).where((F.col("last") > at) & (F.col("n") > 1))
+        open_ = left.groupBy("crowd").agg(F.max("pos").alias("last"), F.min("root").alias("low"), F.max("root").alias("high")).where((F.col("last") > at) & (F.col("low") != F.col("high")))
         members = stored(left.join(open_.select("crowd"), "crowd", "left_semi"), "jaccard-members")
     labelled = nodes.select("node", "low", "same").withColumn("root", F.col("node"))
-    if links is not None:
+    if roots is not None:
         labelled = nodes.select("node", "low", "same").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = labelled.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.rid").alias("rid"), F.lit(True).alias("hit"))
     return rows.select("rid").join(first, "rid", "left").select(F.col("rid").alias(ROW), F.col("hit").isNotNull().alias("is_first"))

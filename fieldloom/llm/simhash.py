@@ -14,7 +14,8 @@ where the mask covers all bits. From one key only spanning links come out, never
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero, one
 with fewer than three words has one shingle, the whole sequence; a null id never is the
-smallest unless all are null; repeated rows are rows of the same component; an empty table
+smallest unless all are null; repeated rows are rows of the same component; very long
+texts are hashed whole, in parts; fingerprints at the same distance are all linked; an empty table
 gives an empty result. Extra columns are ignored.
 """
 

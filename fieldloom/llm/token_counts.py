@@ -11,7 +11,8 @@ Everything happens inside the scan: no shuffle, and memory is bounded by a batch
 of counts by word that is emptied when it is full.
 
 Defined results: a null or empty text has no bytes and no tokens; special strings inside a text
-are one token each; repeated rows are counted each; an empty table gives an empty result. Extra
+are one token each; repeated rows are counted each; a very
+long text is counted whole; merges of equal rank go from left to right; an empty table gives an empty result. Extra
 columns are ignored.
 """
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -193,3 +194,21 @@ def test_scratch_tables_go(spark):
         assert stored(spark.range(3), "gone").count() == 3
     kept = stored(spark.range(3), "stays")
     assert not glob.glob(f"{shared_dir(spark)}/fieldloom/gone-*") and kept.count() == 3
+
+
+def slow_fingerprint(text, width=3):
+    """Bit by bit: a bit is set if more than half of the shingles' hashes have it."""
+    import xxhash
+
+    words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if w]
+    shingles = [" ".join(words[k : k + width]) for k in range(len(words) - width + 1)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+
+def test_fingerprints_match_a_slow_version(spark):
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice(["The", "of", "É", "x1", "and", "rare" + str(rng.randrange(30))]) for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    texts += [None, "", " \t\n", "one", "One two", "a\x0bb\x0cc\rd", "same same same same same", "w " * 50_000, " ".join(f"v{k}" for k in range(30_000))]
+    got = {r.doc_id: r.fingerprint for r in S.simhash_components(docs(spark, list(enumerate(texts)))).collect()}
+    assert got == {k: f"{slow_fingerprint(t):016x}" for k, t in enumerate(texts)}

@@ -109,3 +109,14 @@ def test_empty_documents(spark, tmp_path):
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_empty_labels_and_benchmark_take_nothing_away(spark, tmp_path):
+    rows, _, _ = corpus(tmp_path, spark, 60)
+    none = tmp_path / "none"
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{none}/labels.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{none}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    whole = sorted(map(repr, docs.collect()))
+    assert sorted(map(repr, stages.decontamination_stage(spark, docs, str(none)).collect())) == whole
+    assert sorted(map(repr, stages.toxicity_stage(spark, docs, str(none)).collect())) in (whole, [])
