@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldloom.llm import stages
-from fieldloom.llm._common import stored
+from fieldloom.llm._common import scratch, stored
 
 STAGES = [
     ("toxicity", stages.toxicity_stage),
@@ -26,10 +26,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to `documents`."""
+    """Apply all stages to `documents`. What a stage stores on its way goes once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for at, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at + 1 < len(STAGES):
-            docs = stored(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch(spark):
+            result = stage(spark, docs, sf_dir)
+            docs = stored(result, f"pipeline-{name}", keep=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
