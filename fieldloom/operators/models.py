@@ -20,9 +20,12 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
 
 
 def train_forest(df: DataFrame, features: str, label: str, trees: int = 100, subset: str = "0.05", seed: int = 42):
-    """A random forest on balanced classes; `features` is an array column."""
+    """A random forest on balanced classes; `features` is an array column.
+
+    The copy that is returned has no training summary, which holds the session: with it no model can be
+    sent to tasks once the session has had an Observation."""
     ready = balanced(df, label).withColumn("vector", array_to_vector(features)).withColumn("label_", F.col(label).cast("double"))
-    return RandomForestClassifier(featuresCol="vector", labelCol="label_", weightCol="weight", numTrees=trees, featureSubsetStrategy=subset, maxDepth=10, seed=seed).fit(ready)
+    return RandomForestClassifier(featuresCol="vector", labelCol="label_", weightCol="weight", numTrees=trees, featureSubsetStrategy=subset, maxDepth=10, seed=seed).fit(ready).copy()
 
 
 def predict(model, df: DataFrame, features: str) -> DataFrame:

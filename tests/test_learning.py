@@ -5,11 +5,12 @@ import itertools
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from fieldloom.operators import evaluation as ev
 from fieldloom.operators import features as ft
-from fieldloom.operators import search
+from fieldloom.operators import models, search
 from fieldloom.operators import subsetting as sub
 
 
@@ -120,3 +121,12 @@ def test_evaluator_names_and_values(spark):
     pixel, objects, coco = ev.evaluation_tables(raster(spark, labels, labels), 7)
     assert pixel.first().accuracy == 1 and objects.count() == 4 and coco.first()["AP_IoU_0.50:0.95"] == pytest.approx(1)
     assert coco.first()["AP_IoU_l"] == -1
+
+
+def test_forest_predicts_after_an_observation(spark):
+    rows = [(float(i % 7), float(i % 3), i % 2) for i in range(60)]
+    df = spark.createDataFrame([([a, b + y], y) for a, b, y in rows], "f array<double>, y int")
+    df.observe(Observation(), F.count(F.lit(1)).alias("n")).collect()  # from now on the session can't be serialised
+    model = models.train_forest(df, "f", "y", 5, "all")
+    assert not model.hasSummary
+    assert models.predict(model, df, "f").where("prediction = y").count() > 30
