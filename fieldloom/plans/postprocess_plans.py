@@ -25,9 +25,7 @@ def masks(spark, sf_dir):
 
 @query("mask_overlaps", _MASKS + " SELECT tile, a, b, round(n / (aa + ab - n) + 1e-9, 6) AS iou FROM sh")
 def mask_overlaps(spark, sf_dir):
-    px = masks(spark, sf_dir)
-    large = px.groupBy("tile", "inst").count().where("count > 25").select("tile", "inst")
-    return pp.mask_overlaps(px.where("score > 40").join(large, ["tile", "inst"], "left_semi")).withColumn("iou", stable("iou"))
+    return pp.mask_overlaps(masks(spark, sf_dir), 40, 25).withColumn("iou", stable("iou"))
 
 
 @query("suppressed_masks", _MASKS + " SELECT tile, inst, count(*) AS area FROM kp ANTI JOIN be USING (tile, inst) GROUP BY tile, inst")

@@ -185,3 +185,18 @@ def test_group_folds_are_balanced_and_whole(spark):
 def test_meta_columns_come_first(spark):
     df = spark.createDataFrame([(1, 2, 3, 4)], "a int, m int, b int, n int")
     assert rel.meta_first(df, ["m", "n"]).columns == ["n", "m", "a", "b"]
+
+
+def test_mask_suppression_broadcasts_nothing(spark):
+    rng = np.random.default_rng(5)
+    boxes = [(t, i, float(s), *rng.integers(0, 20, 2)) for t in range(3) for i, s in enumerate(rng.permutation(8))]
+    rows = [(t, i, s, int(y + r), int(x + c)) for t, i, s, y, x in boxes for r in range(6) for c in range(6)]
+    px = spark.createDataFrame(rows, "tile bigint, inst bigint, score double, r bigint, c bigint")
+    overlaps, left = pp.mask_overlaps(px, 1.0, 25), pp.suppressed_masks(px, 1.0, 25, 0.1).select("tile", "inst", "score", "r", "c")
+    found, got = {(r.tile, r.a, r.b): r.iou for r in overlaps.collect()}, {tuple(r) for r in left.collect()}
+    assert not any("Broadcast" in df._jdf.queryExecution().executedPlan().toString() for df in (overlaps, left))
+    of = {(t, i): (s, {(r, c) for t2, i2, _, r, c in rows if (t2, i2) == (t, i)}) for t, i, s, *_ in boxes if s > 1}
+    iou = {(*a, b[1]): len(of[a][1] & of[b][1]) / len(of[a][1] | of[b][1]) for a in of for b in of if a[0] == b[0] and of[a][0] > of[b][0] and of[a][1] & of[b][1]}
+    assert found == pytest.approx(iou)
+    beaten = {(t, b) for (t, _, b), x in iou.items() if x > 0.1}
+    assert beaten and got == {r for r in rows if r[:2] in of and r[:2] not in beaten}
