@@ -8,10 +8,8 @@ lengths, digit counts, and a few key words. It is trained by Adam on the exact l
 a small labelled table that a rule below generates, on the driver, in a few seconds. Decoding
 is Viterbi over all sequences of a batch at once.
 
-A sequence is a stretch of words around words that hold a digit, an at sign or a written dot;
-words further than `REACH` from any of those belong to no sequence, for what lies between them
-looks like nothing that the labels name. A sequence is never cut, however long. Added spans that overlap a base span or fail the check of their kind (digits, octets,
-Luhn) are dropped, so base spans stay as they are.
+A sequence is all words of a text, however long; each word is decoded. Added spans that overlap a base
+span or fail the check of their kind (an at and a dot, digits, octets, Luhn) are dropped, so base spans stay as they are.
 
 Everything happens inside the scan: no shuffle, and memory is bounded by a batch.
 
@@ -27,6 +25,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +37,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ._common import stored
 
 KINDS = ("email", "ip", "card", "phone")
-REACH = 5
-#: Words, with padding, of the sequences that are decoded in lockstep; a longer sequence is decoded alone.
-GRID = 1 << 18
+#: Words, with padding, that are decoded in lockstep; a longer sequence is decoded alone.
+GRID = 1 << 19
 #: Labels: 0 outside, then begin and inside of each kind.
 LABELS = 1 + 2 * len(KINDS)
 
@@ -96,14 +94,26 @@ KEYWORDS = set(
     "at [at] (at) {at} dot [dot] (dot) {dot} punkt point punto arroba arobase tel tel. phone fax call mobile cell email e-mail mail card visa mastercard credit ip host server address "
     "telefon handy téléphone teléfono tarjeta karte carte adresse dirección".split()
 )
-#: What a sequence is built around: digits, at signs, and words that can stand for the dot or the at sign of an address.
-_ANCHOR = re.compile(r"[0-9@]|(?<![^\W_])(?:dot|punkt|punto|arroba|arobase)(?![^\W_])", re.I)
+#: What an added address must hold: an at sign and a dot, or words for them.
+_AT = re.compile(r"@|(?<![^\W_])(?:at|arroba|arobase)(?![^\W_])", re.I)
+_DOT = re.compile(r"\.|(?<![^\W_])(?:dot|punkt|point|punto)(?![^\W_])", re.I)
 _TRIM = "\"'`,;:!?#%&*$<>=…»«."
 
 
-@lru_cache(maxsize=200_000)
+_PLAIN = ("s=a", "n=0", "n=0,first=x", "dots=0,n=0", "at=False")
+
+
 def word_features(word: str) -> tuple[str, ...]:
-    """What the shape of one word says."""
+    """What the shape of one word says; words of letters alone, which most are, say the same."""
+    ends = word[-1:] in _TRIM
+    letters = word[:-1] if ends else word
+    if letters.isalpha() and letters.lower() not in KEYWORDS:
+        return (*_PLAIN, "end") if ends else _PLAIN
+    return _shape_features(word)
+
+
+@lru_cache(maxsize=200_000)
+def _shape_features(word: str) -> tuple[str, ...]:
     bare = word.strip(_TRIM) or word
     lower = bare.lower()
     shape = re.sub(r"[0-9]+", lambda m: f"9{min(len(m[0]), 6)}", re.sub(r"[^\W\d_]+", "a", bare))[:24]
@@ -202,34 +212,74 @@ class CRF:
 
     def emissions(self, words: list[str], side: str) -> np.ndarray:
         """Scores that each distinct word gives a position: its own, the one after, or the one before it."""
-        out = np.zeros((len(words), LABELS))
-        for k, w in enumerate(words):
-            ids = [i for f in word_features(w) if (i := self.features.get(side + f)) is not None]
+        kinds: dict[tuple[str, ...], int] = {}
+        return self._by_kind([kinds.setdefault(word_features(w), len(kinds)) for w in words], list(kinds), side)
+
+    def _by_kind(self, of: list[int], kinds: list[tuple[str, ...]], side: str) -> np.ndarray:
+        """The same for words that are known by their features."""
+        out = np.zeros((len(kinds), LABELS))
+        for k, found in enumerate(kinds):
+            ids = [i for f in found if (i := self.features.get(side + f)) is not None]
             out[k] = self.weights[ids].sum(axis=0)
-        return out
+        return out[of]
 
     def decode(self, sequences: list[list[str]]) -> list[np.ndarray]:
-        """Viterbi labels of all sequences, those of similar length in lockstep."""
-        order = sorted(range(len(sequences)), key=lambda k: len(sequences[k]))
+        """Viterbi labels of every word of all sequences."""
         out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(sequences)
-        while order:
-            first = len(order) - max(1, min(len(order), GRID // max(1, len(sequences[order[-1]]))))
-            part, order = order[first:], order[:first]
-            for k, labels in zip(part, self._lockstep([sequences[k] for k in part])):
+        ends = np.cumsum([len(s) for s in sequences])
+        filled = [k for k, s in enumerate(sequences) if s]
+        for _, part in groupby(filled, key=lambda k: (ends[k] - 1) // GRID):
+            own = list(part)
+            for k, labels in zip(own, self._labels([sequences[k] for k in own])):
                 out[k] = labels
         return out
 
-    def _lockstep(self, sequences: list[list[str]]) -> list[np.ndarray]:
+    def _labels(self, sequences: list[list[str]]) -> list[np.ndarray]:
+        """All words are scored, and the best labelling is found where one but 0 can be in it.
+
+        A run of other labels gains at most the sum over its words of `rise`, and `slack`, over the same
+        words as 0. A word through which no run has a positive sum is 0 in every best labelling, so what
+        lies between such words is searched alone, with its moves from and to 0."""
         number: dict[str, int] = {}
         ids = [np.array([number.setdefault(w, len(number)) for w in s]) for s in sequences]
-        own, after, before = (self.emissions(list(number), s) for s in _SIDES)
-        sizes = np.array([len(s) for s in sequences])
-        order = np.argsort(-sizes, kind="stable")
-        scores = [own[i].copy() for i in ids]
+        kinds: dict[tuple[str, ...], int] = {}
+        of = [kinds.setdefault(word_features(w), len(kinds)) for w in number]
+        own, after, before = (self._by_kind(of, list(kinds), s) for s in _SIDES)
+        scores = [own[i] for i in ids]
         for s, i in zip(scores, ids):
             s[1:] += after[i[:-1]]
             s[:-1] += before[i[1:]]
-            s[0] += _allowed()[0]
+        moves = self.moves + _allowed()
+        others = np.ones(moves.shape, bool)
+        others[0, 0] = False
+        most = float((moves[others] - moves[0, 0]).max())
+        slack = abs(most) + 1e-6
+        out, runs, places = [], [], []
+        for k, s in enumerate(scores):
+            out.append(np.zeros(len(s), np.int8))
+            rise = s[:, 1:].max(axis=1) - s[:, 0] + most
+            sums = np.r_[0.0, np.cumsum(rise)]
+            best = np.maximum.accumulate(sums[:0:-1])[::-1] - np.minimum.accumulate(sums[:-1])  # over all runs through a word
+            edge = np.flatnonzero(np.diff(np.r_[False, best > -slack, False]))
+            for low, high in edge.reshape(-1, 2).tolist():
+                run = s[low:high].copy()
+                run[0] += moves[0] if low else _allowed()[0]
+                if high < len(s):
+                    run[-1] += moves[:, 0]
+                runs.append(run)
+                places.append((k, low, high))
+        order = sorted(range(len(runs)), key=lambda k: len(runs[k]))
+        while order:
+            first = len(order) - max(1, min(len(order), GRID // len(runs[order[-1]])))
+            part, order = order[first:], order[:first]
+            for j, labels in zip(part, self._lockstep([runs[j] for j in part])):
+                k, low, high = places[j]
+                out[k][low:high] = labels
+        return out
+
+    def _lockstep(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        sizes = np.array([len(s) for s in scores])
+        order = np.argsort(-sizes, kind="stable")
         moves = self.moves + _allowed()
         most = sizes[order[0]]
         grid = np.zeros((len(order), most, LABELS))
@@ -318,53 +368,23 @@ def train(table: list[tuple[list[str], list[int]]] | None = None, steps: int = 1
     return model
 
 
-def _stretches(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Bounds of the words of each sequence of a text."""
-    if not _ANCHOR.search(text):
-        return
-    bounds = [m.span() for m in _WORD.finditer(text)]
-    run: list[int] = []
-    for k in (k for k, (a, b) in enumerate(bounds) if _anchor(text[a:b])):
-        low, high = max(0, k - REACH), min(len(bounds), k + REACH + 1)
-        if run and low > run[1]:
-            yield bounds[run[0] : run[1]]
-            run = [low, high]
-        else:
-            run = [run[0] if run else low, high]
-    if run:
-        yield bounds[run[0] : run[1]]
-
-
-@lru_cache(maxsize=200_000)
-def _anchor(word: str) -> bool:
-    return bool(_ANCHOR.search(word))
-
-
 def added_spans(texts: list[str], base: list[list[Span]], model: CRF) -> list[list[Span]]:
     """What the random field finds in each text beside the base spans."""
-    owners, stretches = [], []
-    for k, text in enumerate(texts):
-        for stretch in _stretches(text):
-            owners.append(k)
-            stretches.append(stretch)
-    labels = model.decode([[texts[k][a:b] for a, b in s] for k, s in zip(owners, stretches)])
+    labels = model.decode([_WORD.findall(text) for text in texts])
     out: list[list[Span]] = [[] for _ in texts]
-    for k, stretch, path in zip(owners, stretches, labels):
-        t = 0
-        while t < len(path):
-            if path[t] % 2 == 1:  # a begin
-                kind, end = int(path[t]) // 2, t + 1
-                while end < len(path) and path[end] == 2 + 2 * kind:
-                    end += 1
-                a, b = stretch[t][0], stretch[end - 1][1]
-                word = texts[k][a:b]
-                a += len(word) - len(word.lstrip(_TRIM))
-                b -= len(word) - len(word.rstrip(_TRIM))
-                if a < b and plausible(kind, texts[k][a:b]) and not any(a < e and s < b for _, s, e in base[k]):
-                    out[k].append((kind, a, b))
-                t = end
-            else:
-                t += 1
+    for k, path in enumerate(labels):
+        begins = np.flatnonzero(path % 2 == 1).tolist()
+        bounds = [m.span() for m in _WORD.finditer(texts[k])] if begins else []
+        for t in begins:
+            kind, end = int(path[t]) // 2, t + 1
+            while end < len(path) and path[end] == 2 + 2 * kind:
+                end += 1
+            a, b = bounds[t][0], bounds[end - 1][1]
+            word = texts[k][a:b]
+            a += len(word) - len(word.lstrip(_TRIM))
+            b -= len(word) - len(word.rstrip(_TRIM))
+            if a < b and plausible(kind, texts[k][a:b]) and not any(a < e and s < b for _, s, e in base[k]):
+                out[k].append((kind, a, b))
     return out
 
 
@@ -372,7 +392,7 @@ def plausible(kind: int, found: str) -> bool:
     """Whether an added span holds what its kind needs."""
     digits = _DIGIT.findall(found)
     if kind == 0:
-        return any(c.isalpha() for c in found)
+        return any(c.isalpha() for c in found) and bool(_AT.search(found) and _DOT.search(found))
     if kind == 1:
         parts = re.findall(r"[0-9]+", found)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)

@@ -127,3 +127,28 @@ def test_lockstep_equals_one_by_one():
     many = [[rng.choice(words) for _ in range(rng.randint(1, 300))] for _ in range(60)]
     for one, all_ in zip((MODEL.decode([s])[0] for s in many), MODEL.decode(many)):
         assert (one == all_).all()
+
+
+def test_every_word_is_decoded():
+    text = "plain words " * 40 + "please write to maria at example point org if you find it " + "plain words " * 40
+    found = P.added_spans([text, "", " "], [[], [], []], MODEL)
+    assert [text[a:b] for _, a, b in found[0]] == ["maria at example point org"] and found[1:] == [[], []]
+    assert P.added_spans(["we met at at that at noon"], [[]], MODEL) == [[]]
+
+
+def test_pruned_decoding_is_the_best_labelling():
+    rng = random.Random(4)
+    moves = MODEL.moves + P._allowed()
+    words = [w for s, _ in P._labelled(seed=3, rows=40) for w in s] + ["plain", "words", "here"] * 40
+    for _ in range(20):
+        s = [rng.choice(words) for _ in range(60)]
+        own, after, before = (MODEL.emissions(s, side) for side in P._SIDES)
+        best, back = own[0] + before[1] + P._allowed()[0], []
+        for t in range(1, 60):
+            step = best[:, None] + moves
+            back.append(step.argmax(axis=0))
+            best = step.max(axis=0) + own[t] + after[t - 1] + (before[t + 1] if t < 59 else 0)
+        path = [int(best.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        assert MODEL.decode([s])[0].tolist() == path[::-1]
