@@ -4,8 +4,12 @@ Rows with the same set of shingles are one node from the start. A node has `BAND
 hash of `DEPTH` minima of its shingles, and nodes that share a key are compared: two of similarity
 s share none with a chance of (1 - s^DEPTH)^BANDS, which is 5e-8 at 0.8. The members of a key are
 compared the first with all others, then eight times as many in each round, only those that are not
-yet connected, so that a large cluster of copies costs comparisons in proportion to its size. Every
-link is verified on the sets.
+yet connected, so that a large cluster of copies costs comparisons in proportion to its size. After
+two rounds the shingles of the nodes that are left open are told apart: those of more than `RARE`
+such nodes are common. Two nodes that are linked either share a rare shingle, and then they meet by
+it, or share as many common ones as the similarity asks for, and only nodes with that many stay in
+the further rounds. Texts that leave a cluster by edits of their own have many shingles that nobody
+else has, so they no longer meet all of it. Every link is verified on the sets.
 
 Defined results: a null text counts as empty; texts without words are copies of each other; a text
 with fewer words than a shingle has one shingle, the whole sequence; a null id never is the
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import ROW, stored
@@ -29,6 +33,8 @@ from .simhash import shingle_hashes
 BANDS, DEPTH = 32, 4
 #: How many times more members of a key are compared with all later ones in each round; in the first it is one.
 FRONT = 8
+#: Open nodes that may hold a rare shingle.
+RARE = 16
 _FACTORS = np.random.default_rng(42).integers(0, 2**64, BANDS * DEPTH, np.uint64) | np.uint64(1)
 
 
@@ -76,6 +82,38 @@ def _verify(width: int, least: float):
     return run
 
 
+def _shingles(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "size", "shingles"])
+
+    return run
+
+
+def rare_and_common(texts: DataFrame, width: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(shingle, node): by which nodes meet that can be linked and share a rare shingle; and (node, size,
+    common) of nodes that can be linked by their common shingles alone. `texts` has rid and body."""
+    key = texts.schema["rid"].dataType.simpleString()
+    each = texts.mapInArrow(_shingles(width), f"node {key}, size bigint, shingles array<bigint>").select("node", "size", F.explode("shingles").alias("shingle"))
+    held = each.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("held > 1")
+    held = stored(held, "jaccard-held")
+    nodes = held.groupBy("node").agg(F.first("size").alias("size"), F.count_if(F.col("held") > RARE).alias("common"), F.count(F.lit(1)).alias("several"))
+    # linked nodes share `least` of either; so many of these are rare, and all but so many shingles less one hold one of them
+    must = F.greatest(F.lit(1), F.ceil(least * F.col("size") - 1e-6) - F.col("common"))
+    first = nodes.select("node", (F.col("several") - F.col("common") - must + 1).alias("first")).where("first > 0")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("held", "shingle"))
+    meets = held.where(F.col("held") <= RARE).withColumn("rank", rank).join(first, "node").where("rank <= first").select("shingle", "node")
+    return meets, nodes.where(F.col("common") >= least * F.col("size") - 1e-6).select("node", "size", "common")
+
+
+def _ordered(a: str, ra: str, b: str, rb: str):
+    """A pair, the smaller node first."""
+    one, other = (F.struct(F.col(x).alias("a"), F.col(y).alias("b"), F.col(rx).alias("ra"), F.col(ry).alias("rb")) for x, y, rx, ry in ((a, b, ra, rb), (b, a, rb, ra)))
+    return F.when(F.col(a) < F.col(b), one).otherwise(other).alias("x")
+
+
 def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row key, is_first) of each row of a table with row keys: one row of each component of near
     copies, the one with the smallest id, is the first."""
@@ -89,27 +127,44 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str
     crowds = crowds.select("all").distinct().withColumn("crowd", F.monotonically_increasing_id())
     members = stored(stored(crowds, "jaccard-crowds").select("crowd", F.posexplode("all").alias("pos", "node")), "jaccard-members")
     texts = base.select("rid", "body").join(members.select(F.col("node").alias("rid")).distinct(), "rid", "left_semi")
-    roots, at, front = None, 0, 1
     members = members.withColumn("root", F.col("node"))
-    while not members.isEmpty():
-        one = members.where((F.col("pos") >= at) & (F.col("pos") < at + front)).select("crowd", F.col("pos").alias("p"), F.col("node").alias("a"), F.col("root").alias("r"))
-        pairs = members.join(one, "crowd").where("pos > p AND root <> r")
-        pairs = pairs.select(F.when(F.col("a") < F.col("node"), F.struct("a", F.col("node").alias("b"), F.col("r").alias("ra"), F.col("root").alias("rb"))).otherwise(F.struct(F.col("node").alias("a"), F.col("a").alias("b"), F.col("root").alias("ra"), F.col("r").alias("rb"))).alias("x"))
+
+    def linked(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """The roots, once the pairs (x) are verified; what is linked are the components so far."""
         pairs = pairs.select("x.*").distinct().join(texts.toDF("a", "s"), "a").join(texts.toDF("b", "t"), "b").select("ra", "rb", "s", "t")
-        found = stored(pairs.mapInArrow(_verify(width, least), f"a {key}, b {key}"), "jaccard-links")
-        # what is linked are the components so far
-        merged = components(found, "a", "b")
-        if roots is None:
-            roots = merged
-        else:
+        merged = components(stored(pairs.mapInArrow(_verify(width, least), f"a {key}, b {key}"), "jaccard-links"), "a", "b")
+        if roots is not None:
             again = roots.withColumnRenamed("root", "was").join(merged.withColumnRenamed("node", "was"), "was", "left")
             fresh = merged.join(roots.select("node"), "node", "left_anti")
-            roots = again.select("node", F.coalesce("root", "was").alias("root")).unionByName(fresh)
-        roots = stored(roots, "jaccard-roots")
-        at, front = at + front, front * FRONT
+            merged = again.select("node", F.coalesce("root", "was").alias("root")).unionByName(fresh)
+        return stored(merged, "jaccard-roots")
+
+    def still_open(members: DataFrame, roots: DataFrame, at: int) -> DataFrame:
+        """The members of crowds that have some to compare and more than one root."""
         left = members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = left.groupBy("crowd").agg(F.max("pos").alias("last"), F.min("root").alias("low"), F.max("root").alias("high")).where((F.col("last") > at) & (F.col("low") != F.col("high")))
-        members = stored(left.join(open_.select("crowd"), "crowd", "left_semi"), "jaccard-members")
+        return stored(left.join(open_.select("crowd"), "crowd", "left_semi"), "jaccard-members")
+
+    roots, at, front = None, 0, 1
+    while not members.isEmpty():
+        if at == 1 + FRONT:
+            rooted = members.select("node", "root").distinct()
+            meets, mostly = rare_and_common(texts.join(rooted.select(F.col("node").alias("rid")), "rid", "left_semi"), width, least)
+            meets = stored(meets.join(rooted, "node"), "jaccard-meets")
+            others = meets.select("shingle", F.col("node").alias("other"), F.col("root").alias("was"))
+            pairs = meets.join(others, "shingle").where("node < other AND root <> was")
+            roots = linked(pairs.select(_ordered("node", "root", "other", "was")), roots)
+            members = still_open(members.join(mostly, "node"), roots, at)
+            if members.isEmpty():
+                break
+            at_least = F.least("common", "p_common") >= least / (1 + least) * (F.col("size") + F.col("p_size")) - 1e-6
+        one = members.where((F.col("pos") >= at) & (F.col("pos") < at + front)).select("crowd", F.col("pos").alias("p"), F.col("node").alias("a"), F.col("root").alias("r"), *[F.col(c).alias(f"p_{c}") for c in ("size", "common") if at > FRONT])
+        pairs = members.join(one, "crowd").where("pos > p AND root <> r")
+        if at > FRONT:
+            pairs = pairs.where(at_least)
+        roots = linked(pairs.select(_ordered("a", "r", "node", "root")), roots)
+        at, front = at + front, front * FRONT
+        members = still_open(members, roots, at)
     labelled = nodes.select("node", "low", "same").withColumn("root", F.col("node"))
     if roots is not None:
         labelled = nodes.select("node", "low", "same").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

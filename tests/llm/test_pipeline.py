@@ -4,8 +4,10 @@ import re
 import numpy as np
 
 import corpus_pipeline
+from fieldloom.llm import jaccard_dedup as J
 from fieldloom.llm import simhash as S
 from fieldloom.llm import stages
+from fieldloom.llm._common import ROW, with_row
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, target double"
 
@@ -120,3 +122,45 @@ def test_empty_labels_and_benchmark_take_nothing_away(spark, tmp_path):
     whole = sorted(map(repr, docs.collect()))
     assert sorted(map(repr, stages.decontamination_stage(spark, docs, str(none)).collect())) == whole
     assert sorted(map(repr, stages.toxicity_stage(spark, docs, str(none)).collect())) in (whole, [])
+
+
+def test_edits_of_one_text_do_not_all_meet(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    start = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+
+    def edited(words, k):
+        out = list(words)
+        for i in rng.sample(range(len(out)), k):
+            out[i] = f"e{rng.randrange(10**6)}"
+        return out
+
+    far = [edited(start, rng.randint(7, 10)) for _ in range(200)]
+    texts = [edited(start, rng.randint(0, 2)) for _ in range(60)] + far + [edited(f, 1) for f in far[:40]] + [edited(start, rng.randint(4, 6)) for _ in range(40)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    seen, plain = tmp_path / "pairs", J._verify
+
+    def counted(width, least):
+        run = plain(width, least)
+
+        def count(batches):
+            for batch in batches:
+                with open(seen, "a") as f:
+                    f.write(f"{batch.num_rows}\n")
+                yield from run([batch])
+
+        return count
+
+    monkeypatch.setattr(J, "_verify", counted)
+    numbered = with_row(docs)
+    first = J.near_copies(numbered).where("is_first").join(numbered, ROW).select("doc_id")
+    got = sorted(r.doc_id for r in first.collect())
+    sets = [set(J.shingle_set(" ".join(t), 5).tolist()) for t in texts]
+    label = list(range(len(sets)))
+    close = [[j for j in range(len(sets)) if len(s & sets[j]) >= 0.8 * len(s | sets[j])] for s in sets]
+    while (new := [min(label[j] for j in c) for c in close]) != label:
+        label = new
+    assert got == sorted(set(label)) and 100 < len(got) < 300
+    pairs = sum(map(int, seen.read_text().split()))
+    print("pairs verified", pairs)
+    assert pairs < 0.35 * len(texts) * (len(texts) - 1) / 2
