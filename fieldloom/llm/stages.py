@@ -27,28 +27,28 @@ def _keep(numbered: DataFrame, kept: DataFrame) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches 0.5 go; the classifier learns from `labels`."""
-    numbered = with_row(docs)
+    numbered = with_row(docs, by_values=True)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _keep(numbered, score_toxicity(numbered, model, carry=(ROW,)).where("predicted = 0"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays."""
-    numbered = with_row(docs)
+    numbered = with_row(docs, by_values=True)
     return _keep(numbered, exact_dedup(numbered, carry=(ROW,)).where("kept"))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (five-word Jaccard of 0.8) one row stays, and of those
     that stay one of each component of close fingerprints (three words, three bits)."""
-    numbered = with_row(docs)
+    numbered = with_row(docs, by_values=True)
     apart = numbered.join(stored(near_copies(numbered), "near-copies").where("is_first").select(ROW), ROW, "left_semi")
     return _keep(numbered, simhash_components(apart, carry=(ROW,)).where("is_first"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain an item of `benchmark` go."""
-    numbered = with_row(docs)
+    numbered = with_row(docs, by_values=True)
     found = contained_items(numbered, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=(ROW,))
     return numbered.join(found.select(ROW).distinct(), ROW, "left_anti").drop(ROW)
 
@@ -59,7 +59,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Beside the columns of the documents a row has copy (from 1), copies, size, source_size,
     target (of the source) and taken (words that this row adds); a name that the documents have
     themselves gets the prefix mix_."""
-    numbered = with_row(docs)
+    numbered = with_row(docs, by_values=True)
     mixed = mix_sources(numbered, carry=(ROW,)).where("copies > 0")
     new = {
         "copy": F.explode(F.sequence(F.lit(1).cast("long"), "copies")), "copies": F.col("copies"), "size": F.col("size"),
