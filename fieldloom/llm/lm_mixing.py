@@ -38,7 +38,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -68,8 +68,8 @@ PAGE = 1 << 16
 #: that is scored with its words.
 FIRST, LEARNED, CHUNK, BLOCK = 1 << 20, 16 << 20, 8 << 20, 16 << 20
 FAN = 64
-#: Contexts that are worked on at a time, and the least curvature of a Newton step.
-PART, PRIOR = 1 << 14, 50.0
+#: Contexts and positions that are worked on at a time, and the least curvature of a Newton step.
+PART, PIECE, PRIOR = 1 << 14, 1 << 16, 50.0
 #: Words that a task counts before it sends what it has.
 WORDS = 300_000
 END = "\n"
@@ -78,7 +78,7 @@ EDGE = 0xFF
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NODE = np.uint64(0xD6E8FEB86659FD93)
-_LOW, _HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
+_HALF = np.uint64(32)
 
 
 def tokens(text: str | None) -> bytes:
@@ -100,9 +100,13 @@ def positions(texts: list[bytes]) -> np.ndarray:
 def counted_contexts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct integers of the positions, without those of edges, and how often each comes; sorts in place."""
     key.sort()
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    distinct, often = key[starts], np.diff(np.r_[starts, len(key)])
-    inside = distinct & np.uint64(255) != EDGE
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    starts, size = np.flatnonzero(new), len(key)
+    distinct = key[starts]
+    del key, new  # the largest by far
+    often = np.diff(starts, append=size)
+    inside = bytes_of(distinct) != EDGE
     return distinct[inside], often[inside]
 
 
@@ -111,21 +115,29 @@ def distinct_contexts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     Positions are sorted by a hash that leaves room for the position itself, and a group ends where
     the integers differ, so equal hashes of different integers do no harm."""
-    room = max(1, len(key) - 1).bit_length()
-    hashed = key * _MIX
-    hashed ^= hashed >> np.uint64(32)
-    hashed *= _NODE
-    hashed &= ~np.uint64((1 << room) - 1)
-    hashed |= np.arange(len(key), dtype=np.uint64)
+    size = len(key)
+    room = max(1, size - 1).bit_length()
+    low = np.uint64((1 << room) - 1)
+    hashed = np.empty(size, np.uint64)
+    for at in range(0, size, PIECE):
+        own = key[at : at + PIECE] * _MIX
+        own ^= own >> _HALF
+        own *= _NODE
+        own &= ~low
+        own |= np.arange(at, at + len(own), dtype=np.uint64)
+        hashed[at : at + PIECE] = own
     hashed.sort()
-    hashed &= np.uint64((1 << room) - 1)
-    order = hashed.astype(np.int32 if room < 32 else np.int64)
-    del hashed
-    ordered = key[order]
-    new = np.r_[True, ordered[1:] != ordered[:-1]]
-    place = np.empty(len(key), np.int32)
-    place[order] = np.cumsum(new, dtype=np.int32) - 1
-    return ordered[new], place
+    found, place, count, last = [], np.empty(size, np.int32), 0, None
+    for at in range(0, size, PIECE):
+        order = (hashed[at : at + PIECE] & low).astype(np.intp)
+        own = np.take(key, order)
+        new = np.ones(len(own), bool)
+        np.not_equal(own[1:], own[:-1], out=new[1:])
+        new[0] = last is None or own[0] != last
+        place[order] = np.cumsum(new, dtype=np.int32) + np.int32(count - 1)
+        found.append(own[new])
+        count, last = count + len(found[-1]), own[-1]
+    return np.concatenate(found), place
 
 
 #: Of each byte, its bits (high first) and the place of each bit among those of its half, given the bits before it.
@@ -135,7 +147,7 @@ _HALVES = (np.uint64(1) + (np.arange(256, dtype=np.uint64) >> np.uint64(4))) * _
 
 
 def bytes_of(contexts: np.ndarray) -> np.ndarray:
-    return (contexts & np.uint64(255)).astype(np.uint8)
+    return contexts.astype(np.uint8)  # the last byte
 
 
 def slots(contexts: np.ndarray, byte: np.ndarray, k: int) -> np.ndarray:
@@ -164,10 +176,15 @@ def logits(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 #: A state is how often a slot was seen, as the last of these that it reached, and its logit in 64 levels.
 _TIMES = np.array([0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 512, 2048, 8192])
 _WIDEST = np.log((np.r_[_TIMES[1:] - 1, 1 << 17] + 0.4) / 0.4)
-#: The logit of each state, and its share of the gate.
+#: The logit of each state, and the first states that count as seen so often.
 _STRETCH = (_WIDEST[:, None] * np.linspace(-1, 1, 64)).astype(np.float32).ravel()
 _STRETCH[:64] = 0
-_CLASS = np.repeat(np.searchsorted(OFTEN, _TIMES, "right"), 64).astype(np.int32)
+_REACHED = [64 * int(np.searchsorted(_TIMES, o)) for o in OFTEN]
+
+
+def _class(n: np.ndarray, bounds: list[int] | tuple[int, ...]) -> np.ndarray:
+    """How many of the bounds are reached."""
+    return sum((n >= b).view(np.uint8) for b in bounds)
 
 
 def states(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -194,17 +211,20 @@ class Model:
         for at in range(0, len(contexts), PART):
             own = contexts[at : at + PART]
             byte = bytes_of(own)
-            found = [np.take(self.state, slots(own, byte, k)).astype(np.int32) for k in range(len(ORDERS))]
-            gate = np.zeros(found[0].shape, np.int32)
+            found = [np.take(self.state, slots(own, byte, k), mode="clip") for k in range(len(ORDERS))]
+            gate = np.zeros(found[0].shape, np.uint8)
             for f in found[-GATED:]:
-                gate *= len(OFTEN) + 1
-                gate += np.take(_CLASS, f)
+                gate *= np.uint8(len(OFTEN) + 1)
+                gate += _class(f, _REACHED)
+            gate = gate.astype(np.intp)
             base, z = gate << 10, np.zeros(gate.shape, np.float32)
             for part, f in zip(self.parts, found):
-                f += base
-                z += np.take(part, f)
-            index = (gate * STEPS + steps(z)) * 2 + np.take(_BITS, byte, axis=1)
-            out[at : at + PART] = np.where(byte == EDGE, 0, np.take(self.last, index).sum(axis=0))
+                z += np.take(part, base + f, mode="clip")
+            gate *= STEPS
+            gate += steps(z)
+            gate *= 2
+            gate += np.take(_BITS, byte, axis=1, mode="clip")
+            out[at : at + PART] = np.where(byte == EDGE, 0, np.take(self.last, gate, mode="clip").sum(axis=0))
         return out
 
 
@@ -217,20 +237,22 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -15, 15)))
 
 
-def fit_weights(x: list[np.ndarray], p: np.ndarray, gate: np.ndarray, bits: np.ndarray, often: np.ndarray, weights: np.ndarray, curvature: np.ndarray) -> None:
+def fit_weights(x: np.ndarray, p: np.ndarray, gate: np.ndarray, bits: np.ndarray, often: np.ndarray, weights: np.ndarray, curvature: np.ndarray) -> None:
     """An online Newton step, a small one, for the weights of each gate; changes both arrays in place."""
     pull, bend = ((bits - p) * often).ravel(), (p * (1 - p) * often).ravel()
-    gate = gate.ravel().astype(np.uint8)
+    gate = gate.ravel().astype(np.uint8, copy=False)
     order = np.argsort(gate, kind="stable")
     counts = np.bincount(gate, minlength=len(weights))
-    rows = np.stack([v.ravel()[order] for v in x])
+    rows = np.take(np.reshape(x, (len(x), -1)), order, axis=1, mode="clip")
     pull, bent = pull[order], rows * bend[order]
-    ends = np.cumsum(counts)
-    for g in np.flatnonzero(counts):
+    ends, used = np.cumsum(counts), np.flatnonzero(counts)
+    pulls = np.zeros((len(used), len(x), 1))
+    for at, g in enumerate(used):
         own = slice(ends[g] - counts[g], ends[g])
         curvature[g] += bent[:, own] @ rows[:, own].T
-        move = np.linalg.solve(curvature[g] + PRIOR * np.eye(len(ORDERS)), rows[:, own] @ pull[own])
-        weights[g] += np.clip(move, -0.1, 0.1)
+        pulls[at, :, 0] = rows[:, own] @ pull[own]
+    move = np.linalg.solve(curvature[used] + PRIOR * np.eye(len(ORDERS)), pulls)[:, :, 0]
+    weights[used] += np.clip(move, -0.1, 0.1)
 
 
 def token_scores(scores: np.ndarray, place: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -303,26 +325,30 @@ class Learner:
             self._learn(contexts[at : at + PART], often[at : at + PART])
 
     def _learn(self, own: np.ndarray, often: np.ndarray) -> None:
-        both = self.counts.view(np.uint64).ravel()  # zeros in the low half, ones in the high
+        both = self.counts.view(np.uint64).ravel()
         byte = bytes_of(own)
-        bits, x, gate = np.take(_BITS, byte, axis=1), [], np.zeros((8, len(own)), np.int32)
-        places = [slots(own, byte, k) for k in range(len(ORDERS))]
+        bits, gate = np.take(_BITS, byte, axis=1, mode="clip"), np.zeros((8, len(own)), np.uint8)
+        x = np.empty((len(ORDERS), 8, len(own)), np.float32)
+        places = [slots(own, byte, k).astype(np.intp) for k in range(len(ORDERS))]
         for k, place in enumerate(places):
-            pairs = np.take(both, place)
-            zeros, ones = (pairs & _LOW).astype(np.float32), (pairs >> _HALF).astype(np.float32)
-            x.append(logits(zeros, ones))
+            pairs = np.take(both, place, mode="clip").view(np.uint32).reshape(8, -1, 2)
+            zeros, ones = pairs[..., 0].astype(np.float32), pairs[..., 1].astype(np.float32)
+            x[k] = logits(zeros, ones)
             if k >= len(ORDERS) - GATED:
-                zeros += ones
-                gate *= len(OFTEN) + 1
-                for o in OFTEN:
-                    gate += zeros >= o
-        z = sum(np.take(self.weights[:, k].astype(np.float32), gate) * v for k, v in enumerate(x))
-        index = ((gate * STEPS + steps(z)) * 2 + bits).ravel()
-        times = np.broadcast_to(often, gate.shape)
-        self.last += np.bincount(index, times.ravel(), self.last.size).reshape(-1, 2)
-        self.seen += np.bincount(gate.ravel(), times.ravel(), GATES)
+                gate *= np.uint8(len(OFTEN) + 1)
+                gate += _class(zeros + ones, OFTEN)
+        index, z = gate.astype(np.intp), np.zeros(gate.shape, np.float32)
+        for w, v in zip(self.weights.T.astype(np.float32), x):
+            z += np.take(w, index, mode="clip") * v
+        index *= STEPS
+        index += steps(z)
+        index *= 2
+        index += bits
+        part = np.bincount(index.ravel(), np.tile(often.astype(float), 8), self.last.size)
+        self.last += part.reshape(-1, 2)
+        self.seen += part.reshape(GATES, -1).sum(axis=1)
         fit_weights(x, _sigmoid(z), gate, bits, often.astype(np.float32), self.weights, self.curvature)
-        more = (times.astype(np.uint64) << (bits * np.uint64(32))).ravel()
+        more = (often.astype(np.uint64) << (bits * np.uint64(32))).ravel()  # zeros in the low half, ones in the high
         for place in places:
             np.add.at(both, place.ravel(), more)
 
@@ -367,7 +393,8 @@ def _gather(schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, learner = Counter(), Learner()
         for texts in _chunks((tokens(t) for b in batches for t in b.column(0).to_pylist()), FIRST, LEARNED):
-            words.update(b" ".join(texts).split(b" "))  # ends are words of their own
+            for t in texts:
+                words.update(t.split(b" "))  # ends are words of their own
             if len(words) > WORDS:
                 yield from counted(words)
             learner.add(texts)
@@ -466,25 +493,32 @@ def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _score(model, total: int, distinct: int, schema: pa.Schema):
+    norm = np.log10(total + distinct + 1)
+
+    def base(chunk: list[bytes], known: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([t.count(b" ") + 1 for t in chunk])  # ends are words of their own
+        logs = chain.from_iterable(map(known.get, t.split(b" "), repeat(0.0)) for t in chunk)
+        return np.fromiter(logs, float, sizes.sum()), sizes
+
+    def spelled(chunk: list[bytes]) -> np.ndarray:
+        key = positions(chunk)
+        data = bytes_of(key)
+        contexts, place = distinct_contexts(key)
+        del key
+        return token_scores(model.value.byte_scores(contexts), place, data)
+
+    def scored(chunk: list[bytes], known: dict[bytes, float]) -> list[np.ndarray]:
+        """n_tokens, n_known, base_score, score, n_bytes; what is large goes before the next chunk is begun."""
+        logs, sizes = base(chunk, known)
+        starts, own = np.cumsum(sizes) - sizes, spelled(chunk)
+        summed = np.add.reduceat(logs, starts) - sizes * norm
+        return [sizes, np.add.reduceat(logs > 0, starts, dtype=np.int64), summed, refined_scores(own, base_logs(logs, norm, own), sizes), np.array([len(t) for t in chunk])]
+
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
         known = dict(zip((w.encode() for w in words.column("word").to_pylist()), np.log10(words.column("n").to_numpy() + 1.0).tolist()))
-        column = texts.column(texts.num_columns - 1)
-        norm = np.log10(total + distinct + 1)
-        base, counts, hits, scores, lengths = [], [], [], [], []
-        for chunk in _chunks(tokens(t.as_py()) for t in column):
-            words_of = b" ".join(chunk).split(b" ")  # ends are words of their own
-            logs = np.fromiter(map(known.get, words_of, repeat(0.0)), float, len(words_of))
-            sizes = np.array([t.count(b" ") + 1 for t in chunk])
-            starts = np.cumsum(sizes) - sizes
-            base += (np.add.reduceat(logs, starts) - sizes * norm).tolist()
-            counts += sizes.tolist()
-            hits += np.add.reduceat(logs > 0, starts, dtype=np.int64).tolist()
-            lengths += [len(t) for t in chunk]
-            key = positions(chunk)
-            contexts, place = distinct_contexts(key)
-            spelled = token_scores(model.value.byte_scores(contexts), place, bytes_of(key))
-            scores.append(refined_scores(spelled, base_logs(logs, norm, spelled), sizes))
-        new = [pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(scores), pa.float64()), pa.array(lengths, pa.int64())]
+        parts = [scored(chunk, known) for chunk in _chunks(tokens(t.as_py()) for t in texts.column(texts.num_columns - 1))]
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+        new = [pa.array(np.concatenate(p), kind) for p, kind in zip(zip(*parts), kinds)]
         return pa.Table.from_arrays([*[texts.column(c) for c in texts.column_names[1:-1]], *new], schema=schema)
 
     return run

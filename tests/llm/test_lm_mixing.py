@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -212,3 +213,34 @@ def test_empty_and_nothing_to_learn(spark):
     assert L.score_texts(df.limit(0), ~kept_out()).count() == 0
     (r,) = L.score_texts(df, F.lit(False)).collect()
     assert r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 and r.score < 0
+
+
+def _peak(run):
+    tracemalloc.start()
+    run()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most
+
+
+def test_contexts_are_found_in_little_memory():
+    """Bytes for each position beyond the positions themselves; the executors' memory follows them."""
+    rng = np.random.default_rng(4)
+    key = L.positions([b"".join(rng.choice([b"the ", b"of ", b"word ", b"corpus "], 400_000).tolist())])
+    assert _peak(lambda: L.distinct_contexts(key)) < 16 * len(key)
+    assert _peak(lambda: L.counted_contexts(key)) < 16 * len(key)
+
+
+def test_newton_steps_match_gate_by_gate():
+    rng = np.random.default_rng(9)
+    n, orders = 500, len(L.ORDERS)
+    x, p, often = rng.normal(size=(orders, 8, n)), rng.random((8, n)), rng.integers(1, 9, n).astype(float)
+    gate, bits = rng.integers(0, 5, (8, n)), rng.integers(0, 2, (8, n))
+    weights, curvature = np.full((L.GATES, orders), 0.3), np.zeros((L.GATES, orders, orders))
+    L.fit_weights(x, p, gate, bits, often, weights, curvature)
+    for g in range(L.GATES):
+        own = gate == g
+        v, w = x[:, own], (np.broadcast_to(often, own.shape) * p * (1 - p))[own]
+        pull = v @ ((bits - p) * often)[own]
+        assert np.allclose(curvature[g], (v * w) @ v.T)
+        assert np.allclose(weights[g], 0.3 + np.clip(np.linalg.solve((v * w) @ v.T + L.PRIOR * np.eye(orders), pull), -0.1, 0.1))
