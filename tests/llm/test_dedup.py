@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldloom.llm import simhash as S
 from fieldloom.llm.exact_dedup import CountingQuotientFilter, exact_dedup
@@ -212,3 +213,24 @@ def test_fingerprints_match_a_slow_version(spark):
     texts += [None, "", " \t\n", "one", "One two", "a\x0bb\x0cc\rd", "same same same same same", "w " * 50_000, " ".join(f"v{k}" for k in range(30_000))]
     got = {r.doc_id: r.fingerprint for r in S.simhash_components(docs(spark, list(enumerate(texts)))).collect()}
     assert got == {k: f"{slow_fingerprint(t):016x}" for k, t in enumerate(texts)}
+
+
+def test_small_edge_tables_end_without_rounds(spark, monkeypatch):
+    """One task and the rounds give the same components, for plain and for struct nodes; small tables need no exchange but one."""
+    from fieldloom.llm import _components as C
+
+    rng = random.Random(11)
+    edges = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(150)] + [(7, 7)]
+    plain = spark.createDataFrame(edges, "a bigint, b bigint")
+    keys = plain.select(*[F.struct((-F.col(c)).alias("row"), F.col(c).alias("at")).alias(c) for c in ("a", "b")])
+    for table in (plain, keys):
+        found = {}
+        for small in (C.SMALL, 0):
+            monkeypatch.setattr(C, "SMALL", small)
+            result = C.components(table, "a", "b")
+            found[small] = {r.node: r.root for r in result.collect()}
+            if small:
+                assert "Exchange" not in result._jdf.queryExecution().executedPlan().toString()
+            monkeypatch.undo()
+        assert found[0] == found[C.SMALL] and len(set(found[0].values())) > 1
+    assert C.components(plain.where("a = b"), "a", "b").count() == 0
