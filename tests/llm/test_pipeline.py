@@ -164,3 +164,39 @@ def test_edits_of_one_text_do_not_all_meet(spark, tmp_path, monkeypatch):
     pairs = sum(map(int, seen.read_text().split()))
     print("pairs verified", pairs)
     assert pairs < 0.35 * len(texts) * (len(texts) - 1) / 2
+
+
+def test_a_group_of_edits_costs_pairs_in_proportion(spark, tmp_path, monkeypatch):
+    """Edits of one text that are mostly far from each other: links as by brute force, few pairs a text, no more of them in a larger group."""
+    rng = random.Random(5)
+    start = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for _ in range(600):
+        out = list(start)
+        for i in rng.sample(range(150), rng.randint(0, 8)):
+            out[i] = f"e{rng.randrange(10**7)}"
+        texts.append(" ".join(out))
+    met, whole = [], type(spark.range(1)).distinct
+
+    def distinct(frame):
+        if frame.columns == ["a", "b", "ra", "rb"]:
+            met[-1] += frame.count()
+        return whole(frame)
+
+    monkeypatch.setattr(type(spark.range(1)), "distinct", distinct)
+    for n in (150, 600):
+        met.append(0)
+        numbered = with_row(spark.createDataFrame([(i, t) for i, t in enumerate(texts[:n])], "doc_id bigint, text string"))
+        got = sorted(r.doc_id for r in J.near_copies(numbered).where("is_first").join(numbered, ROW).select("doc_id").collect())
+        sets = [J.shingle_set(t, 5) for t in texts[:n]]
+        u, at = np.unique(np.concatenate(sets), return_inverse=True)
+        held = np.zeros((n, len(u)), np.float32)
+        held[np.repeat(np.arange(n), [len(s) for s in sets]), at] = 1
+        both, sizes = held @ held.T, held.sum(1)
+        close = both >= 0.8 * (sizes[:, None] + sizes[None, :] - both) - 1e-4
+        label = np.arange(n)
+        while ((new := np.where(close, label[None, :], n).min(1)) != label).any():
+            label = new
+        assert got == sorted(set(label.tolist())) and 0.2 * n < len(got) < 0.8 * n
+    print("pairs met", met)
+    assert met[1] < 60 * 600 and met[1] < 8 * met[0]
