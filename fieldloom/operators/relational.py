@@ -109,17 +109,20 @@ def filtered_bands(px: DataFrame, good: DataFrame) -> DataFrame:
 def balanced_group_folds(sizes: DataFrame, group: str, size: str, folds: int, repeats: int) -> DataFrame:
     """(repeat, group, fold): whole groups dealt to folds of nearly equal size.
 
-    Groups go in order of falling size to the fold with the fewest rows so far; equals are
-    ordered by a hash that changes with the repeat. Only sizes of groups are dealt, one task a repeat."""
+    Groups go in order of falling size to the fold with the fewest rows so far. Equals, and as many
+    neighbours in that order as there are folds, are ordered by a hash that changes with the repeat, so
+    that repeats differ where no sizes are equal. Only sizes of groups are dealt, one task a repeat."""
     import pandas as pd
 
     def deal(frame: pd.DataFrame) -> pd.DataFrame:
         load, out = [0] * folds, []
-        for n in frame.sort_values(["n", "h"], ascending=[False, True])["n"]:
+        frame = frame.sort_values(["n", "h"], ascending=[False, True], ignore_index=True)
+        frame = frame.assign(row=frame.index // folds).sort_values(["row", "h"])
+        for n in frame["n"]:
             best = min(range(folds), key=lambda k: (load[k], k))
             load[best] += n
             out.append(best)
-        return frame.sort_values(["n", "h"], ascending=[False, True]).assign(fold=out)[["repeat", group, "fold"]]
+        return frame.assign(fold=out)[["repeat", group, "fold"]]
 
     kind = sizes.schema[group].dataType.simpleString()
     again = sizes.select(F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"), group, F.col(size).alias("n"))
